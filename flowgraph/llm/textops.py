@@ -78,14 +78,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], the same wherever it stands."""
+    """A 64-bit hash of each data[start:end], the same wherever it stands; data are bytes or code points."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     powers = np.empty(len(data) + 1, dtype=np.uint64)
     powers[0], powers[1:] = 1, _BASE
     np.multiply.accumulate(powers, out=powers)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * powers[:-1], out=sums[1:])
+    np.cumsum((_BYTE[data] if data.dtype == np.uint8 else mix(data.astype(np.uint64))) * powers[:-1], out=sums[1:])
     raw = sums[ends] - sums[starts]
     powers[1:] = _INVERSE
     powers[0] = 1
@@ -104,3 +104,42 @@ def gram_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarr
     text_end = np.repeat(bounds[1:], np.diff(bounds))[:n]
     at = np.flatnonzero(np.arange(n) + k <= text_end)
     return mix(out[at]), at
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, one after another."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64)
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
+
+
+class HashIndex:
+    """Row numbers of distinct 64-bit keys by open addressing; all look-ups of an array at once."""
+
+    def __init__(self, keys: np.ndarray):
+        size = 1 << max(4, int(2 * len(keys)).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.rows = np.full(size, -1, dtype=np.int32)
+        self.keys = keys
+        todo, at = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.rows[at] < 0)
+            self.rows[at[free]] = todo[free]  # the last of several takes the slot
+            lost = self.rows[at] != todo
+            todo, at = todo[lost], (at[lost] + 1) & (size - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key; -1 where there is none."""
+        out = np.full(len(keys), -1, dtype=np.int32)
+        if not len(self.keys):
+            return out
+        todo, at = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(todo):
+            row = self.rows[at]
+            there = row >= 0
+            same = there & (self.keys[row] == keys[todo])
+            out[todo[same]] = row[same]
+            on = there & ~same
+            todo, at = todo[on], (at[on] + 1) & int(self.mask)
+        return out
