@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgraph.llm import decontaminate, simhash
+from flowgraph.llm import decontaminate, langid, linededup, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,39 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+#: Rows that language identification may learn from.
+LANGUAGE_TRAINING = "crc32(cast(doc_id as string)) % 4 <> 2"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packed_pieces(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the runs of lines that stand earlier."""
+    cut = linededup.delete_repeated_runs(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_deleted", "text")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    told = langid.predict(docs, langid.train(docs.where(LANGUAGE_TRAINING)))
+    return told.select("doc_id", (~F.expr(LANGUAGE_TRAINING)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
@@ -60,6 +93,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_packing": op2_packing,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_language_id": op7_language_id,
     "op9_simhash": op9_simhash,
 }
 
