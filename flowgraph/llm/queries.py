@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgraph.llm import decontaminate, langid, linededup, packing, simhash
+from flowgraph.llm import decontaminate, langid, linededup, packing, simhash, tokenfile
+from flowgraph.llm.storage import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +86,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", (~F.expr(LANGUAGE_TRAINING)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written to a token file in the shared folder and read back."""
+    path = scratch_path(spark, "tokens")
+    tokenfile.write_token_file(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    rows = tokenfile.read_token_file(spark, path)
+    whole = F.col("n") == F.col("size")
+    rows = rows.select("doc_id", "start", "size", F.when(whole, F.crc32("ids")).alias("crc"), F.when(~whole, F.struct("offset", "ids")).alias("part"))
+    docs = rows.groupBy("doc_id", "start", "size").agg(F.max("crc").alias("crc"), F.array_sort(F.collect_list("part")).alias("parts"))
+    joined = F.aggregate("parts", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
+    return docs.select("doc_id", "start", F.col("size").alias("n_tokens"), F.coalesce("crc", F.crc32(joined)).alias("ids_crc32"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
@@ -96,6 +109,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op5_line_dedup": op5_line_dedup,
     "op7_language_id": op7_language_id,
+    "op8_token_file": op8_token_file,
     "op9_simhash": op9_simhash,
 }
 
