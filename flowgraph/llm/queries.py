@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgraph.llm import decontaminate, langid, linededup, packing, simhash, tokenfile
+from flowgraph.llm import decontaminate, langid, linededup, packing, parsing, simhash, tokenfile, toxicity
 from flowgraph.llm.storage import scratch_path
 
 
@@ -79,6 +79,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_deleted", "text")
 
 
+#: Rows that toxicity may learn from.
+TOXICITY_TRAINING = "crc32(cast(doc_id as string)) % 5 <> 0"
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(TOXICITY_TRAINING))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (~F.expr(TOXICITY_TRAINING)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -98,6 +110,11 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", F.col("size").alias("n_tokens"), F.coalesce("crc", F.crc32(joined)).alias("ids_crc32"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return parsing.edit_report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
@@ -108,9 +125,11 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_packing": op2_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_token_file": op8_token_file,
     "op9_simhash": op9_simhash,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
