@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgraph.llm import decontaminate, langid, linededup, packing, parsing, simhash, tokenfile, toxicity
+from flowgraph.llm import decontaminate, langid, linededup, packing, parsing, pitmanyor, simhash, tokencount, tokenfile, toxicity
 from flowgraph.llm.storage import scratch_path
 
 
@@ -73,6 +73,21 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"))
 
 
+#: Rows that language-model scoring may learn from.
+SCORING_TRAINING = "crc32(cast(doc_id as string)) % 7 <> 2"
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents."""
+    scored = pitmanyor.score(table(spark, sf_dir, "documents"), SCORING_TRAINING)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the runs of lines that stand earlier."""
     cut = linededup.delete_repeated_runs(table(spark, sf_dir, "documents"))
@@ -124,6 +139,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_packing": op2_packing,
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
