@@ -84,8 +84,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 hashes, owner = words.grams(np.arange(len(lang)), n)
                 parts.append((1, hashes, lang[owner]))
             for kind, hashes, langs in parts:
-                rows, n = np.unique(np.stack([hashes.view(np.int64), langs]), axis=1, return_counts=True) if len(hashes) else (np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind)), pa.array(rows[0]), pa.array(rows[1]), pa.array(n)], names=["kind", "key", "lang", "n"])
+                for one in np.unique(langs):
+                    keys, n = np.unique(hashes[langs == one], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind)), pa.array(keys.view(np.int64)), pa.array(np.full(len(n), one)), pa.array(n)], names=["kind", "key", "lang", "n"])
 
     counts = chosen.mapInArrow(count, "kind long, key long, lang long, n long")
     per_lang = [F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"l{i}") for i in range(len(languages))]
