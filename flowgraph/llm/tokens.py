@@ -1,25 +1,79 @@
-"""Whole texts to token ids by the tokenizers library, with a bounded cache of words."""
+"""Whole texts to token ids by the tokenizers library, with bounded caches of words."""
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from flowgraph.llm.textops import ranges
+
 #: White space by Unicode, as the tokenizers see it.
-_WHITE = "\t-\r \x85\xa0  -     　"
+_WHITE = "\t-\r \x85\xa0  -     　"
 #: Pieces that no token of a byte-level tokenizer crosses: a word with the space before it, or white space.
 _PIECE = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-_UNUSUAL = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f]")
-_CACHED, _LONGEST = 300_000, 64
+#: White space to Python but not to the tokenizers.
+_SEPARATOR = re.compile("[\x1c-\x1f]")
+#: Texts of code points below this are cut into pre-tokens here; others by the tokenizer.
+_LATIN = 0x250
+_PIECES, _LONGEST = 600_000, 64
+#: Marks cuts; a text that has it is encoded whole. Signs before which a word is cut.
+_CUT, _STOPS = "\x1f", ".,;:!?"
+#: A piece that is neither a line's end nor a word with at most a space before it.
+_ODD_KEPT = r"^$|^ $|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|(?s:.)[ \n]|\n(?s:.)"
+
+
+def _class(kinds: str) -> str:
+    """The code points below _LATIN whose general category begins with one of these letters, for a regular expression."""
+    return "".join(re.escape(chr(i)) for i in range(_LATIN) if unicodedata.category(chr(i))[0] in kinds)
+
+
+@cache
+def _pretoken_pattern(spaces: bool) -> re.Pattern:
+    """The tokenizer file's own pattern, over Latin text without white space but for a space at the front."""
+    letter, number = _class("L"), _class("N")
+    ends = "'s|'t|'re|'ve|'m|'ll|'d"
+    if spaces:
+        return re.compile(f"{ends}| ?[{letter}]+| ?[{number}]+| ?[^{_WHITE}{letter}{number}]+")
+    return re.compile(f"{ends}|[{letter}]+|[{number}]|[^{_WHITE}{letter}{number}]+")
+
+
+@cache
+def _byte_signs() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class _Cache(dict):
+    """Ids by string; what is missing is computed and, unless it is long, kept."""
+
+    def __init__(self, compute):
+        self.compute = compute
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.compute(word)
+        if len(word) <= _LONGEST:
+            self[word] = ids
+        return ids
 
 
 class Encoder:
-    """Encodes texts exactly as the tokenizer file does, a word at a time.
+    """Encodes texts exactly as the tokenizer file does, each distinct pre-token of a batch once.
 
-    No token crosses the border between a word and the white space after it, so a text's ids are its words' ids one
-    after another; words that repeat are encoded once. spaces tells whether the tokenizer keeps white space, a single
-    space with the word after it, or drops it. Ids come as bytes, little-endian unsigned 32-bit.
+    No token crosses the border between a word and the white space after it, nor that between two pre-tokens, so a
+    text's ids are its pre-tokens' ids one after another. Arrow cuts a batch before spaces, line ends and common
+    punctuation and numbers the distinct pieces; only those are looked up, or encoded. Texts whose cuts are no borders
+    (runs of punctuation or of white space) are cut by a pattern instead. spaces tells whether the tokenizer keeps
+    white space, a single space with the word after it (and has no normalizer), or drops it (after NFC and
+    lower-casing). Ids come as bytes, little-endian unsigned 32-bit.
     """
 
     def __init__(self, path: str, spaces: bool):
@@ -28,39 +82,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaces = spaces
-        self.words: dict[str, bytes] = {}
+        self.model, self.spaces = self.tokenizer.model, spaces
+        self.pieces = _Cache(self._piece)
+
+    def direct(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def direct(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def _pretoken(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():
+            signs = text
+        elif text[0] == " " and text.isascii() and text[1:].isalpha():
+            signs = "\u0120" + text[1:]
+        else:
+            signs = text.encode().decode("latin-1").translate(_byte_signs())
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _piece(self, text: str) -> bytes:
+        """The ids of a piece that begins and ends at borders."""
+        core = text[1:] if self.spaces and text[:1] == " " else text
+        if core.isascii() and core.isalpha():
+            return self._pretoken(text if self.spaces else text.lower())
+        if not text or (not self.spaces and text.isspace() and not _SEPARATOR.search(text)):
+            return b""
+        if len(text) > _LONGEST or not (text.isascii() or (max(text) < chr(_LATIN) and unicodedata.is_normalized("NFC", text))):
+            return self.direct(text)
+        small = text if self.spaces else text.lower()
+        parts = _pretoken_pattern(self.spaces).findall(small)
+        if sum(map(len, parts)) != len(small) or not (small.isascii() or max(small) < chr(_LATIN)):
+            return self.direct(text)
+        return self._pretoken(small) if len(parts) == 1 else b"".join(map(self.pieces.__getitem__, parts))
 
-    def pieces(self, text: str) -> list[str]:
-        if not self.spaces:
-            return [text] if _UNUSUAL.search(text, 0) and re.search("[\x1c-\x1f]", text) else text.split()
-        if _UNUSUAL.search(text):
-            return _PIECE.findall(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[w if w[0] == "\n" else f" {w}" for w in rest]]
+    def _text(self, text: str) -> bytes:
+        if self.spaces:
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
+        return self.direct(text) if _SEPARATOR.search(text) else b"".join(map(self.pieces.__getitem__, text.split()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        if len(self.words) > _CACHED:
-            self.words.clear()
-        new = list({w for pieces in cut for w in pieces if w not in self.words})
-        once: dict[str, bytes] = {}
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, ids in zip(part, self.direct(part)):
-                if len(w) <= _LONGEST:
-                    self.words[w] = ids
-                else:
-                    once[w] = ids
-        if not once:
-            return [b"".join(map(self.words.__getitem__, pieces)) for pieces in cut]
-        return [b"".join([self.words[w] if w in self.words else once[w] for w in pieces]) for pieces in cut]
+        if len(self.pieces) > _PIECES:
+            self.pieces.clear()
+        if not any(texts):
+            return [b""] * len(texts)
+        marked = pa.array(texts, pa.large_string())
+        marks = [(" ", f"{_CUT} " if self.spaces else _CUT), ("\n", f"{_CUT}\n{_CUT}" if self.spaces else _CUT), *((c, _CUT + c) for c in _STOPS)]
+        own = pc.match_substring(marked, _CUT).to_numpy(zero_copy_only=False)
+        for sign, cut in marks:
+            marked = pc.replace_substring(marked, sign, cut)
+        lists = pc.split_pattern(marked if self.spaces else pc.ascii_lower(marked), _CUT)
+        coded = pc.dictionary_encode(lists.values)
+        pieces, at, bounds = coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
+        ids = list(map(self.pieces.__getitem__, pieces))
+        sizes = np.array([len(x) // 4 for x in ids])
+        pool, starts = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes
+        flat = pool[ranges(starts[at], sizes[at])].tobytes()
+        ends = np.concatenate([[0], 4 * np.cumsum(sizes[at])])[bounds].tolist()
+        out = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        stop, run, odd = (pc.match_substring_regex(coded.dictionary, r).to_numpy(zero_copy_only=False) for r in ("^[.,;:!?]", "[^\\pL\\pN]$|\u0130$", _ODD_KEPT if self.spaces else "[\\x1c-\\x1f]"))
+        bad = odd[at]
+        bad[:-1] |= run[at[:-1]] & stop[at[1:]]
+        for i in np.unique(np.searchsorted(bounds, np.flatnonzero(bad), side="right") - 1).tolist() + np.flatnonzero(own).tolist():
+            out[i] = self._text(texts[i]) if not own[i] else self.direct(texts[i])
+        return out
 
 
 @cache
