@@ -107,7 +107,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         own = TaskContext.get().partitionId()
         encode, end = encoder(tokenizer, spaces).encode, np.array([end_id], dtype="<u4").tobytes()
         packer = Packer(size, windows, max_pad, own << 28)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 6_000_000):
             rows = []
             for key, ids in zip(batch.column("id").to_pylist(), encode(batch.column("text").fill_null("").to_pylist())):
                 rows += packer.add(key, 0, ids + end, len(ids) // 4 + 1)

@@ -28,7 +28,7 @@ def _ordered_ids(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int) ->
         part, before = TaskContext.get().partitionId(), 0
         encode, end = encoder(tokenizer, spaces).encode, np.array([end_id], dtype="<u4").tobytes()
         counts = np.zeros(end_id + 1, dtype=np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 6_000_000):
             ids = [x + end for x in encode(batch.column("text").fill_null("").to_pylist())]
             flat = np.frombuffer(b"".join(ids), dtype="<u4")
             own = np.bincount(flat, minlength=len(counts))
