@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from flowgraph.plans import graphs
+from flowgraph.plans import graphs, shapes  # noqa: F401  each adds to the tables of the first
 
-QUERIES = {**graphs.QUERIES}
-ORACLE_SQL = {**graphs.SQL}
+QUERIES, ORACLE_SQL = graphs.QUERIES, graphs.SQL
