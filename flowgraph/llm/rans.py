@@ -10,7 +10,7 @@ import numpy as np
 #: Frequencies add up to 2**SCALE; lane states stay in [LOW, LOW * 2**32).
 SCALE = 20
 LOW = 1 << 31
-LANES, STEPS, EVERY = 32, 2048, 512
+LANES, STEPS, EVERY = 64, 1024, 256
 BLOCK = LANES * STEPS
 
 _U = np.uint64
