@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -139,11 +140,12 @@ _ARROW = pa.schema(
 )
 
 
-def read_token_file(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, size, offset, n, ids): the ids of each document, in one row for every block that it lies in.
+def read_token_file(spark: SparkSession, path: str, whole_ids: bool = True) -> DataFrame:
+    """(doc_id, start, size, offset, n, crc, ids): the ids of each document, in one row for every block that it lies in.
 
     start is the number of ids of all documents before this one, offset that of the document's ids before this row,
-    n of size ids follow as little-endian unsigned 32-bit. A block that does not match its checksum ends the job.
+    n of size ids follow as little-endian unsigned 32-bit, with their CRC-32. Without whole_ids the ids of documents that
+    lie in one block are null, for readers who want sums only; all ids are decoded still. A block that does not match its checksum ends the job.
     """
     rows = spark.read.parquet(f"{path}/table").toArrow()
     table = spark.sparkContext.broadcast((rows.column("symbol").to_numpy(), rows.column("freq").to_numpy()))
@@ -159,8 +161,10 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                     n[-1] = len(ids) - n[:-1].sum()
                     ends = np.cumsum(n)
                     start = block["base"] + block["first"] + ends - n - offsets
-                    raw = [x.astype("<u4").tobytes() for x in np.split(ids, ends[:-1])]
-                    yield pa.RecordBatch.from_arrays([pa.array(block["doc_ids"], pa.int64()), pa.array(start), pa.array(sizes), pa.array(offsets), pa.array(n), pa.array(raw, pa.binary())], names=["doc_id", "start", "size", "offset", "n", "ids"])
+                    raw = [x.tobytes() for x in np.split(ids.astype("<u4"), ends[:-1])]
+                    crcs = [zlib.crc32(x) for x in raw]
+                    kept = [x if whole_ids or short else None for x, short in zip(raw, n < sizes)]
+                    yield pa.RecordBatch.from_arrays([pa.array(block["doc_ids"], pa.int64()), pa.array(start), pa.array(sizes), pa.array(offsets), pa.array(n), pa.array(crcs, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "start", "size", "offset", "n", "crc", "ids"])
 
     blocks = spark.read.parquet(f"{path}/blocks").join(spark.read.parquet(f"{path}/parts"), "part")
-    return blocks.mapInArrow(run, "doc_id long, start long, size long, offset long, n long, ids binary")
+    return blocks.mapInArrow(run, "doc_id long, start long, size long, offset long, n long, crc long, ids binary")
