@@ -323,3 +323,26 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
             assert docs.where("doc_id = 3").first().text == english(3)
     clean = {0, 2, 3, *range(7, len(texts))}
     assert kept[0] == clean | {1, 4} and kept[1] == clean | {4} and kept[2] == clean | {4} and kept[3] == kept[4] == clean
+
+
+def test_null_ids_and_repeated_rows_stay(spark):
+    rows = [(None, "some text here. and more of it", None, None, "x"), (None, None, None, None, None), (5, "twice the same", "aa", 1, "x"), (5, "twice the same", "aa", 1, "x"), (3, "", "bb", None, "y")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    items = spark.createDataFrame([(None, "twice the same"), (1, None)], "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    assert set(found) == {None, 5, 3} and found[5].n_hit == 3 and list(found[5]["items"]) == []
+    assert decontaminate.drop_contaminated(docs, items).count() == 3
+    assert packing.pack(docs, WORD_BPE).where("start = 0").count() == 5
+    assert pitmanyor.score(docs, "doc_id = 5").count() == 5
+    assert tokencount.count_tokens(docs, PIECES).count() == 5
+    assert linededup.delete_repeated_runs(docs).count() == 5
+    labels = spark.createDataFrame([(5, 1), (3, 0), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.score(docs, toxicity.train(docs, labels)).count() == 5
+    assert langid.predict(docs, langid.train(docs)).count() == 5
+    groups = simhash.near_duplicate_groups(docs).collect()
+    assert len(groups) == 5 and all(r.component_id == 5 for r in groups if r.doc_id == 5)
+    assert simhash.keep_one_per_group(docs).count() == 5
+    assert parsing.edit_report(docs, parts=3).count() == 5
+    path = f"file:///tmp/spark-tokens-{random.randrange(1 << 60)}"
+    tokenfile.write_token_file(docs, path, BYTE_BPE)
+    assert tokenfile.read_token_file(spark, path).count() == 5
