@@ -22,7 +22,7 @@ _PIECE = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 _SEPARATOR = re.compile("[\x1c-\x1f]")
 #: Texts of code points below this are cut into pre-tokens here; others by the tokenizer.
 _LATIN = 0x250
-_PIECES, _LONGEST = 600_000, 64
+_PIECES, _LONGEST = 800_000, 64
 #: Marks cuts; a text that has it is encoded whole. Signs before which a word is cut.
 _CUT, _STOPS = "\x1f", ".,;:!?"
 #: A piece that is neither a line's end nor a word with at most a space before it.
