@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from flowgraph.model import NODE, Graph
 
 
-def _next_ids(rows: DataFrame, old: DataFrame, id_col: str, order: list[str]) -> Column:
+def _next_ids(id_col: str, order: list[str]) -> Column:
+    """Ids that go on after `__last`, in the given order of each graph."""
     number = F.row_number().over(Window.partitionBy("graph_id").orderBy(*order))
     return (F.coalesce("__last", F.lit(-1)) + number).cast("long").alias(id_col)
 
@@ -16,14 +17,14 @@ def _next_ids(rows: DataFrame, old: DataFrame, id_col: str, order: list[str]) ->
 def insert_nodes(g: Graph, rows: DataFrame, order: list[str]) -> Graph:
     """rows (graph_id, info) as new nodes; ids go on after the greatest of each graph, in the given order of columns."""
     last = g.nodes.groupBy("graph_id").agg(F.max("node_id").alias("__last"))
-    new = rows.join(last, "graph_id", "left").select("graph_id", _next_ids(rows, g.nodes, "node_id", order), "info")
+    new = rows.join(last, "graph_id", "left").select("graph_id", _next_ids("node_id", order), "info")
     return g.with_(nodes=g.nodes.select("graph_id", "node_id", "info").unionByName(new))
 
 
 def insert_edges(g: Graph, rows: DataFrame, order: list[str]) -> Graph:
     """rows (graph_id, src, dst, info) as new edges; parallel ones are kept."""
     last = g.edges.groupBy("graph_id").agg(F.max("edge_id").alias("__last"))
-    new = rows.join(last, "graph_id", "left").select("graph_id", _next_ids(rows, g.edges, "edge_id", order), "src", "dst", "info")
+    new = rows.join(last, "graph_id", "left").select("graph_id", _next_ids("edge_id", order), "src", "dst", "info")
     return g.with_(edges=g.edges.select("graph_id", "edge_id", "src", "dst", "info").unionByName(new))
 
 
