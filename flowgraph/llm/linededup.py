@@ -1,9 +1,10 @@
-"""Deletion of repeated runs of lines, found by winnowing the hashes of lines."""
+"""Deletion of repeated runs of lines, found by the hashes of all shortest windows of lines."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,100 +24,74 @@ def line_hash(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
-def window_minima(hashes: list[bytes], sizes: list[int], min_words: int) -> list[int]:
-    """Places chosen by winnowing: the last least hash of every shortest window of lines with min_words words.
+def shortest_windows(sizes: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(lo, hi) of the shortest runs of lines with min_words words from each line on, and up to each line.
 
-    Every run of lines with at least min_words words holds such a window, so equal runs, wherever they stand,
-    have a chosen place in common.
+    Every run of lines with at least min_words words is the union of such windows inside it, and the words of a window
+    alone decide that it is one, so a run that stands twice has the same windows at both places.
     """
-    chosen: set[int] = set()
-    to = words = 0
-    for at in range(len(hashes)):
-        while to < len(hashes) and words < min_words:
-            words += sizes[to]
-            to += 1
-        if words < min_words:
-            break
-        best = at
-        for i in range(at + 1, to):
-            if hashes[i] <= hashes[best]:
-                best = i
-        chosen.add(best)
-        words -= sizes[at]
-    return sorted(chosen)
-
-
-def context(place: int, sizes: list[int], min_words: int) -> tuple[int, int]:
-    """The lines around a place that any window with it can reach: up to min_words words to either side."""
-    lo, words = place, 0
-    while lo > 0 and words < min_words:
-        lo -= 1
-        words += sizes[lo]
-    hi, words = place + 1, 0
-    while hi < len(sizes) and words < min_words:
-        words += sizes[hi]
-        hi += 1
-    return lo, hi
-
-
-def line_prints(docs: DataFrame, min_words: int) -> DataFrame:
-    """(print, id, place, lo, around, words): chosen places of all texts with hashes and word counts of the lines around.
-
-    Empty lines carry no words and are passed over: places count the other lines.
+    ends = np.append(0, np.cumsum(np.array(sizes, dtype=np.int64)))
+    to = np.searchsorted(ends, ends[:-1] + min_words)
+    lo = np.searchsorted(ends, ends[1:] - min_words, side="right") - 1
+    starts, stops = np.flatnonzero(to < len(ends)), np.flatnonzero(lo >= 0)
+    return sorted({*zip(starts.tolist(), to[starts].tolist()), *zip(lo[stops].tolist(), (stops + 1).tolist())})
+
+
+def line_windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(h1, h2, id, lo, hi, again): the shortest windows of all texts; the 128 bits h1, h2 stand for all lines of one.
+
+    again tells that the window stands further up in its text too. Empty lines carry no words and are passed over:
+    places count the other lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
         for batch in slices(batches, "text"):
-            out: list[list] = [[] for _ in range(6)]
+            keys: list[bytes] = []
+            out: list[list] = [[] for _ in range(4)]
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text")):
                 lines = [x for x in line_list(text.as_py() or "") if x]
-                sizes = [len(x.split()) for x in lines]
-                hashes = [line_hash(x) for x in lines]
-                for place in window_minima(hashes, sizes, min_words):
-                    lo, hi = context(place, sizes, min_words)
-                    for c, v in zip(out, (hashes[place], key, place, lo, b"".join(h[:8] for h in hashes[lo:hi]), sizes[lo:hi])):
+                windows = shortest_windows([len(x.split()) for x in lines], min_words)
+                if not windows:
+                    continue
+                hashes, seen = b"".join(map(line_hash, lines)), set()
+                for lo, hi in windows:
+                    own = digest(hashes[16 * lo : 16 * hi])
+                    keys.append(own)
+                    for c, v in zip(out, (key, lo, hi, own in seen)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+                    seen.add(own)
+            both = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
+            columns = [pa.array(both[:, 0]), pa.array(both[:, 1]), *(pa.array(c, t) for c, t in zip(out, types))]
+            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "id", "lo", "hi", "again"])
 
-    names = ["print", "id", "place", "lo", "around", "words"]
-    types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
-    return docs.mapInArrow(run, "print binary, id long, place int, lo int, around binary, words array<int>")
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    return docs.mapInArrow(run, "h1 long, h2 long, id long, lo int, hi int, again boolean")
 
 
 def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, places): lines of each document that lie in a run of min_words words or more which stands earlier too.
+    """(id, runs): windows of min_words words or more of each document that stand in an earlier place too.
 
-    Every chosen place is joined with the earliest one of its fingerprint (smallest id, then place), and the match is
-    extended both ways as far as the lines agree.
+    A window goes unless its document is the one of least id that has it and it stands there for the first time. Equal
+    keys are equal windows, so nothing else has to be compared.
     """
-    prints = line_prints(docs, min_words)
-    first = prints.groupBy("print").agg(F.min(F.struct("id", "place", "lo", "around", "words")).alias("e"), F.count("*").alias("n")).where("n > 1")
-    first = materialize(first.select("print", "e"), "first")  # its own table, so that a join can split a frequent print
-    pairs = prints.join(first, "print").where("id <> e.id or place <> e.place")
+    windows = line_windows(docs, min_words)
+    first = windows.groupBy("h1", "h2").agg(F.min("id").alias("e_id"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first.select("h1", "h2", "e_id"), "first")  # its own table, so that a join can split a frequent window
+    runs = windows.join(first, ["h1", "h2"]).where("again or id <> e_id")
+    return runs.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "place", "lo", "around", "words", "e_place", "e_lo", "e_around")))
-            for key, place, lo, around, words, e_place, e_lo, e_around in rows:
-                mine = [around[i : i + 8] for i in range(0, len(around), 8)]
-                other = [e_around[i : i + 8] for i in range(0, len(e_around), 8)]
-                at, e_at = place - lo, e_place - e_lo
-                back = 0
-                while back < min(at, e_at) and mine[at - back - 1] == other[e_at - back - 1]:
-                    back += 1
-                on = 1
-                while on < min(len(mine) - at, len(other) - e_at) and mine[at + on] == other[e_at + on]:
-                    on += 1
-                if sum(words[at - back : at + on]) >= min_words:
-                    for c, v in zip(out, (key, place - back, place + on)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["id", "lo", "hi"])
 
-    pairs = pairs.select("id", "place", "lo", "around", "words", F.col("e.place").alias("e_place"), F.col("e.lo").alias("e_lo"), F.col("e.around").alias("e_around"))
-    runs = pairs.mapInArrow(run, "id long, lo int, hi int")
-    places = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("lo", F.col("hi") - 1)))))
-    return runs.groupBy("id").agg(places.alias("places"))
+def places_of(runs: list[dict] | None) -> list[int]:
+    """The places of all lines in some run, in order."""
+    places: list[int] = []
+    to = 0
+    for lo, hi in sorted((r["lo"], r["hi"]) for r in runs or []):
+        places.extend(range(max(lo, to), hi))
+        to = max(to, hi)
+    return places
 
 
 def delete_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
@@ -125,23 +100,23 @@ def delete_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A line goes if it lies in a run of consecutive lines of at least min_words words that also stands earlier, in a
     document of a smaller id or further up in the same one; the earliest copy of any line always stays. Shorter
     repeats stay. Lines are compared without the white space around them, and empty lines neither match nor break a
-    run; they go with the run before them. Other lines stay byte for byte. The guarantee is that of winnowing: each
-    repeated run of min_words words has a fingerprint at the same line in all its copies. 128-bit hashes stand for
-    lines at fingerprints, 64-bit ones around them.
+    run; they go with the run before them. Other lines stay byte for byte. No repeated run is missed: every window of
+    lines that is as short as min_words allows is looked up, and a run is the union of its windows. 128-bit hashes stand
+    for the lines of a window.
 
     Null texts stay null, with no lines. Rows with a null id stay as they are. Rows that repeat an id should not be:
     they count as one document's text each and lose the same lines. Ids must fit a long. Other columns stay.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    gone = repeated_lines(keyed, min_words).select(F.col("id").alias(_ID), F.col("places").alias(_GONE))
+    gone = repeated_lines(keyed, min_words).select(F.col("id").alias(_ID), F.col("runs").alias(_GONE))
     names = docs.columns
     joined = docs.join(gone, F.col(id_col).cast("long") == F.col(_ID), "left").drop(_ID)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, deleted = [], [], []
-            for text, places in zip(batch.column(text_col), batch.column(_GONE)):
-                kept, n, d = without_lines(text.as_py(), places.as_py())
+            for text, gone in zip(batch.column(text_col), batch.column(_GONE)):
+                kept, n, d = without_lines(text.as_py(), places_of(gone.as_py()))
                 texts.append(kept)
                 counts.append(n)
                 deleted.append(d)

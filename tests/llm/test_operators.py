@@ -171,6 +171,39 @@ def test_line_dedup(spark):
     assert linededup.delete_repeated_runs(docs_of(spark, texts).where("false")).count() == 0
 
 
+def brute_line_dedup(texts, min_words):
+    """Every run of lines that also starts at an earlier place, compared place by place."""
+    lines = [[x.strip() for x in (t or "").split("\n") if x.strip()] for t in texts]
+    places = [(i, at) for i in range(len(lines)) for at in range(len(lines[i]))]
+    gone = [set() for _ in lines]
+    for i, at in places:
+        for j, before in places:
+            if (j, before) >= (i, at):
+                break
+            n = 0
+            while at + n < len(lines[i]) and before + n < len(lines[j]) and lines[i][at + n] == lines[j][before + n]:
+                n += 1
+            if sum(len(x.split()) for x in lines[i][at : at + n]) >= min_words:
+                gone[i] |= set(range(at, at + n))
+    return [len(g) for g in gone]
+
+
+def test_line_dedup_finds_every_repeated_run(spark):
+    common = [" ".join(words(10, 900 + i, 500)) for i in range(8)]
+    texts = ["\n".join(f"{own}\n{line}" for line, own in zip(common, (" ".join(words(45, 70 + i, 500)) for i in range(8))))]
+    for i, line in enumerate(common):  # a passage around a line that stands earlier among other lines, twice
+        passage = "\n".join([" ".join(words(25, 300 + i, 500)), line, " ".join(words(25, 400 + i, 500))])
+        texts += [f"first {i}\n{passage}", f"second {i}\n{passage}"]
+    got = {r.doc_id: r for r in linededup.delete_repeated_runs(docs_of(spark, texts)).collect()}
+    assert [got[i].n_deleted for i in range(len(texts))] == brute_line_dedup(texts, 50) == [0] + [0, 3] * len(common)
+    rng = random.Random(8)
+    pool = [" ".join(words(rng.choice([1, 2, 5, 9]), 500 + i)) for i in range(9)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for _ in range(60)]
+    for min_words in (4, 12, 15):
+        got = {r.doc_id: r for r in linededup.delete_repeated_runs(docs_of(spark, texts), min_words=min_words).collect()}
+        assert [got[i].n_deleted for i in range(len(texts))] == brute_line_dedup(texts, min_words)
+
+
 def test_toxicity_learns_words_and_finds_sentences(spark):
     rng = random.Random(4)
     texts, labels = [], []
