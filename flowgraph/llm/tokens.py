@@ -73,15 +73,18 @@ class Encoder:
     punctuation and numbers the distinct pieces; only those are looked up, or encoded. Texts whose cuts are no borders
     (runs of punctuation or of white space) are cut by a pattern instead. spaces tells whether the tokenizer keeps
     white space, a single space with the word after it (and has no normalizer), or drops it (after NFC and
-    lower-casing). Ids come as bytes, little-endian unsigned 32-bit.
+    lower-casing). special tells whether the file's added tokens are found in texts, as they are by default in the library;
+    a text that holds one is encoded whole. Without it their strings are ordinary text. Ids come as bytes,
+    little-endian unsigned 32-bit.
     """
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.model, self.spaces = self.tokenizer.model, spaces
         self.pieces = _Cache(self._piece)
 
@@ -125,7 +128,7 @@ class Encoder:
             return [b""] * len(texts)
         marked = pa.array(texts, pa.large_string())
         marks = [(" ", f"{_CUT} " if self.spaces else _CUT), ("\n", f"{_CUT}\n{_CUT}" if self.spaces else _CUT), *((c, _CUT + c) for c in _STOPS)]
-        own = pc.match_substring(marked, _CUT).to_numpy(zero_copy_only=False)
+        own = np.any([pc.match_substring(marked, sign).to_numpy(zero_copy_only=False) for sign in (_CUT, *self.added)], axis=0)
         for sign, cut in marks:
             marked = pc.replace_substring(marked, sign, cut)
         lists = pc.split_pattern(marked if self.spaces else pc.ascii_lower(marked), _CUT)
@@ -147,5 +150,5 @@ class Encoder:
 
 @cache
 def encoder(path: str, spaces: bool) -> Encoder:
-    """One encoder for each tokenizer file and Python worker."""
-    return Encoder(path, spaces)
+    """One encoder for each tokenizer file and Python worker; its ids are the library's by default."""
+    return Encoder(path, spaces, special=True)

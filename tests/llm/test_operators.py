@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from flowgraph.llm import decontaminate, langid, linededup, packing, parsing, pitmanyor, rans, simhash, tokencount, tokenfile, toxicity
 from flowgraph.llm.components import connected_components
-from flowgraph.llm.tokens import Encoder
+from flowgraph.llm.tokens import Encoder, encoder
 
 WORD_BPE, BYTE_BPE, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 SCHEMA = "doc_id long, text string, lang string, fp long, id string"
@@ -71,6 +71,19 @@ def test_encoder_is_the_tokenizer(path, spaces):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("path, spaces", [(BYTE_BPE, True), (WORD_BPE, False)])
+def test_added_tokens_are_the_tokenizers(spark, path, spaces):
+    rng = random.Random(10)
+    parts = ["a", "B", " ", "  ", "\n", "12", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", "the", ".", "é", "\x1f"]
+    texts = ["see <|endoftext|> here", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(2000))]
+    plain = Tokenizer.from_file(path)
+    want = [plain.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder(path, spaces).encode(texts)] == want
+    if not spaces:
+        rows = packing.pack(docs_of(spark, texts[:1]), path).collect()
+        assert np.frombuffer(rows[0]["ids"], "<u4").tolist()[: len(want[0])] == want[0]
+
+
 def test_packing_keeps_every_id(spark):
     texts = [" ".join(words(n, n)) for n in (1, 5, 900, 40, 3000, 700, 333, 20, 2500)] + EDGES
     rows = packing.pack(docs_of(spark, texts), WORD_BPE, size=64, windows=3, merge=2).collect()
