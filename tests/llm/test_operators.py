@@ -123,6 +123,17 @@ def test_language_model_beats_unigrams(spark):
     assert pitmanyor.score(docs_of(spark, texts).where("false"), "true").count() == 0
 
 
+def test_no_bucket_holds_all_occurrences_of_a_word(spark, monkeypatch):
+    tables = {}
+    keep = pitmanyor.materialize
+    monkeypatch.setattr(pitmanyor, "materialize", lambda df, name: tables.setdefault(name, keep(df, name)))
+    rows = pitmanyor.score(docs_of(spark, ["hot " * 20_000 + f"w{i}" for i in range(4)], parts=1), "doc_id < 3").collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in rows) == [*((i, 20_002, 20_002) for i in range(3)), (3, 20_002, 20_001)]
+    binary = [c for c, kind in tables["buckets"].dtypes if kind == "binary"]
+    largest = tables["buckets"].select(F.greatest(*(F.coalesce(F.octet_length(c), F.lit(0)) for c in binary))).collect()
+    assert max(n for n, in largest) < 1000  # not the 80,000 occurrences
+
+
 def test_seating_is_a_distribution():
     keys = np.array([(w << 7) | c for w in range(1, 6) for c in (0, 1)], dtype=np.uint64)
     trains = np.array([3, 0, 1, 2, 100, 7, 1, 1, 0, 5])
