@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -134,6 +135,14 @@ def test_no_bucket_holds_all_occurrences_of_a_word(spark, monkeypatch):
     assert max(n for n, in largest) < 1000  # not the 80,000 occurrences
 
 
+def test_context_words_are_counted_whole(spark):
+    texts = [" ".join(f"p{part}n{i}" for i in range(600)) + " " for part in range(4)]
+    rows = [(text * 3 + "common " * 2, True) for text in texts]  # in no part among the first 512
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "text string, train boolean")
+    common = pitmanyor._tokens(pa.array(["common"]))[0][0]
+    assert pitmanyor.context_words(docs)[0] == common  # eight times, others three
+
+
 def test_seating_is_a_distribution():
     keys = np.array([(w << 7) | c for w in range(1, 6) for c in (0, 1)], dtype=np.uint64)
     trains = np.array([3, 0, 1, 2, 100, 7, 1, 1, 0, 5])
