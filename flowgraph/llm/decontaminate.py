@@ -16,8 +16,8 @@ from flowgraph.llm.textops import LOWER, gram_hashes, slices, span_hashes, spans
 WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[48:58] = WORD_BYTE[97:123] = WORD_BYTE[128:] = True
 
-#: A filter has 2**LOG2_BITS bits however many values it holds; a false positive only costs a row in a join.
-LOG2_BITS = 23
+#: A filter has at least so many bits for each value, but no more than 2**MOST_BITS (64 MB); a false positive only costs a row in a join.
+BITS_PER_VALUE, LEAST_BITS, MOST_BITS = 16, 16, 29
 
 
 class _Words:
@@ -36,20 +36,22 @@ class _Words:
 
 
 def _in_filter(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    found = np.ones(len(grams), dtype=bool)
-    for shift in (0, LOG2_BITS):
-        at = (grams >> np.uint64(shift)) & np.uint64((1 << LOG2_BITS) - 1)
+    found, log2_bits = np.ones(len(grams), dtype=bool), (64 * len(bits)).bit_length() - 1
+    for shift in (0, log2_bits):
+        at = (grams >> np.uint64(shift)) & np.uint64((1 << log2_bits) - 1)
         found &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
     return found
 
 
 def _filter_bits(df: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of a long column: at most 2**(LOG2_BITS - 6) words reach the driver."""
-    mask = (1 << LOG2_BITS) - 1
-    at = F.explode(F.array(F.col(column).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(column, LOG2_BITS).bitwiseAND(F.lit(mask)))).alias("at")
+    """A Bloom filter of a long column, as large as its distinct values ask for; at most 2**(MOST_BITS - 6) words reach the driver."""
+    n = df.select(F.approx_count_distinct(column)).first()[0]
+    log2_bits = min(MOST_BITS, max(LEAST_BITS, (BITS_PER_VALUE * n).bit_length()))
+    mask = (1 << log2_bits) - 1
+    at = F.explode(F.array(F.col(column).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(column, log2_bits).bitwiseAND(F.lit(mask)))).alias("at")
     words = df.select(at).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
     got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(1 << (LOG2_BITS - 6), dtype=np.uint64)
+    bits = np.zeros(1 << (log2_bits - 6), dtype=np.uint64)
     bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return bits
 
@@ -97,6 +99,8 @@ def _hits(docs: DataFrame, sizes: list[int], bits, window: int, counted: bool) -
                 grams, at = gram_hashes(words.hashes, words.bounds, k)
                 keep = _in_filter(bits.value, grams)
                 found.append((grams[keep].view(np.int64), at[keep]))
+            if counted and not found:
+                continue
             if counted:
                 grams, n = np.unique(np.concatenate([g for g, _ in found]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], names=["gram", "n"])
@@ -138,7 +142,7 @@ def contamination(
     n_hit counts words inside any occurrence, spans lists the occurrences' (start, end) in words, items the sorted
     ids (as strings) that occur. The prefix table is broadcast if it measures at most broadcast_bytes, else joined by
     shuffle. Null and empty texts have no words; items without words occur nowhere; a null item id is not listed but
-    its windows hit. Rows that repeat an id are one document of the longest row's n_words. Empty tables give empty
+    its windows hit. Windows that several items have are looked for once; their items are joined last. Rows that repeat an id are one document of the longest row's n_words. Empty tables give empty
     results or documents without hits; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -147,21 +151,26 @@ def contamination(
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # 1 to shingle
     seen = _hits(docs, sizes, spark.sparkContext.broadcast(_filter_bits(windows, "gram")), window, counted=True)
     rarity = seen.groupBy("gram").agg(F.sum("n").alias("n"))
-    ranked = windows.join(rarity, "gram", "left").groupBy("item_id", "start", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "at")).alias("rarest"))
-    prefix = ranked.where("rarest.n > 0").groupBy("words").agg(F.first("rarest").alias("rarest"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    prefix = materialize(prefix.select(F.col("rarest.gram").alias("gram"), F.col("rarest.at").alias("place"), "words", "items"), "prefix")
+    ranked = windows.join(rarity, "gram", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "at")).alias("rarest"))
+    prefix = ranked.where("rarest.n > 0").select(F.col("rarest.gram").alias("gram"), F.col("rarest.at").alias("place"), "words")
+    prefix = materialize(prefix, "prefix")
     hits = _hits(docs, sizes, spark.sparkContext.broadcast(_filter_bits(prefix, "gram")), window, counted=False)
-    size = prefix.agg(F.sum(F.lit(64) + F.length(F.concat_ws(" ", "words")) + 24 * F.size("items"))).first()[0] or 0
+    size = prefix.agg(F.sum(F.lit(64) + F.length(F.concat_ws(" ", "words")))).first()[0] or 0
     side = F.broadcast(prefix) if size <= broadcast_bytes else prefix
     hits = hits.withColumn("gram", F.coalesce("gram", F.xxhash64("id")))  # documents' own rows meet no window
     start = F.col("at") - F.col("place")
     fits = (start >= F.col("first")) & (start - F.col("first") + F.size("words") <= F.size("around"))
     same = F.when(fits, F.slice("around", (start - F.col("first") + 1).cast("int"), F.size("words")) == F.col("words"))
     joined = hits.join(side, "gram", "left").withColumn("same", F.coalesce(same, F.lit(False))).where("same or around is null")
-    found = joined.groupBy("id").agg(
+    span = F.when(F.col("same"), F.struct(start.alias("start"), (start + F.size("words")).alias("end")))
+    met = materialize(joined.select("id", "n_words", span.alias("span"), F.when(F.col("same"), F.col("words")).alias("words")), "occurrences")
+    owners = windows.select("words", F.col("item_id").cast("string").alias("item")).where("item is not null").distinct()
+    listed = met.where("words is not null").select("id", "words").distinct().join(owners, "words").select("id", "item").distinct()
+    every = met.select("id", "n_words", "span", F.lit(None).cast("string").alias("item")).unionByName(listed, allowMissingColumns=True)
+    found = every.groupBy("id").agg(
         F.max("n_words").alias("n_words"),
-        F.array_sort(F.collect_set(F.when(F.col("same"), F.struct(start.alias("start"), (start + F.size("words")).alias("end"))))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("same"), F.col("items")))))).alias("items"),
+        F.array_sort(F.collect_set("span")).alias("spans"),
+        F.array_sort(F.collect_set("item")).alias("items"),
     )
     grown = F.aggregate(
         "spans",
@@ -173,6 +182,9 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs in which no window of an item occurs; all columns stay, rows with a null id too."""
+    """The rows of docs in which no window of an item occurs; all columns stay, rows with a null id too.
+
+    Rows that repeat an id are one document: if one of them is contaminated, all go.
+    """
     bad = contamination(docs, items, id_col, text_col, **options).where("n_hit > 0").select(id_col)
     return docs.join(bad, id_col, "left_anti")
