@@ -6,7 +6,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         last = parts[0] == 1
         again = _packed_again(size, windows, max_pad, level << 56, last)
         grouped = left.withColumn("group", F.floor(F.col("part") / merge)).groupBy("group")
-        left = materialize(grouped.applyInPandas(again, f"{_SCHEMA}, part long, row long"), "packed")
+        left = materialize(grouped.applyInArrow(again, f"{_SCHEMA}, part long, row long"), "packed")
         if last:
             done.append(left.select(_FIELDS))
             break
@@ -137,14 +136,14 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
 
 def _packed_again(size: int, windows: int, max_pad: int, base: int, last: bool):
-    def again(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = int(key[0])
+    def again(key: tuple, rows: pa.Table) -> pa.Table:
+        own = key[0].as_py()
         packer, out = Packer(size, windows, max_pad, base + (own << 28)), []
-        rows = rows.sort_values(["part", "row"])
-        for doc, start, ids, total in zip(rows["doc_id"], rows["start"], rows["ids"], rows["doc_tokens"]):
-            out += packer.add(None if pd.isna(doc) else int(doc), int(start), bytes(ids), int(total))
+        rows = rows.sort_by([("part", "ascending"), ("row", "ascending")])
+        for piece in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens"))):
+            out += packer.add(*piece)
         out += packer.close() if last else packer.leftovers()
-        return pd.DataFrame(_columns(out, own)).astype({c: "Int64" for c in ("doc_id", "sequence_id", "offset")})
+        return pa.Table.from_batches([_batch(out, own)])
 
     return again
 
