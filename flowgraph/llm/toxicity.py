@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowgraph.llm.storage import materialize
 from flowgraph.llm.textops import LOWER, mix, slices, span_hashes, spans, text_bytes
 
 #: A feature's weight is found by this many bits of its hash.
@@ -95,11 +96,15 @@ def fit(features: np.ndarray, first: np.ndarray, doc: np.ndarray, labels: np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 8_000) -> tuple[np.ndarray, float]:
-    """Weights of words and the bias, learned in one task from about sample_docs labelled documents (chosen by a hash of the id)."""
+    """Weights of words and the bias, learned in one task from about sample_docs labelled documents (chosen by a hash of the id).
+
+    The sample is joined and written first, so that the one task reads nothing else, however large the tables are.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     share = min(1.0, sample_docs / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    chosen = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(known, id_col).select("text", "label")
+    chosen = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), id_col)
+    chosen = materialize(chosen.select("text", "label"), "labelled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, first, doc, marks, words, n = [], [], [], [], 0, 0
