@@ -8,7 +8,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgraph.llm.textops import HashIndex, mix, ranges, slices, span_hashes, spans
@@ -61,8 +61,9 @@ class _Words:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 4_000, max_words: int = 200_000, max_grams: int = 100_000) -> LanguageModel:
     """A model of the rows with a language, learned from about docs_per_language documents of each (chosen by a hash of the id).
 
-    It holds at most max_words words seen twice or more, the most frequent first, and max_grams n-grams, so it stays
-    small whatever the table; the counting itself is a Spark aggregation.
+    It holds at most max_words words seen twice or more and max_grams n-grams, an equal share for each language's most
+    frequent ones, so it stays small whatever the table, and no language loses its words to a larger one; the counting
+    itself is a Spark aggregation.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     share = {r[0]: min(1.0, docs_per_language / r[1]) for r in known.groupBy(lang_col).count().collect()}
@@ -89,14 +90,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind)), pa.array(keys.view(np.int64)), pa.array(np.full(len(n), one)), pa.array(n)], names=["kind", "key", "lang", "n"])
 
     counts = chosen.mapInArrow(count, "kind long, key long, lang long, n long")
-    per_lang = [F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"l{i}") for i in range(len(languages))]
-    rows = counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), *per_lang).where("kind = 1 or n > 1")
+    rows = counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("kind", "key")
+    rows = rows.withColumn("all", F.sum("n").over(whole)).where("kind = 1 or all > 1")
+    share_of = F.when(F.col("kind") == 0, max(1, max_words // len(languages))).otherwise(max(1, max_grams // len(languages)))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "key")))
+    rows = rows.withColumn("kept", F.max(F.col("place") <= share_of).over(whole)).where("kept")
+    got = rows.select("kind", "key", "lang", "n").orderBy("kind", "key", "lang").toArrow()
+    kinds, keys, langs, n = (got.column(c).to_numpy() for c in ("kind", "key", "lang", "n"))
     tables = []
-    for kind, most in ((0, max_words), (1, max_grams)):
-        got = rows.where(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(most).toArrow()
-        table = np.stack([got.column(f"l{i}").to_numpy() for i in range(len(languages))], axis=1).astype(np.float64).reshape(-1, len(languages))
+    for kind in (0, 1):
+        own, at = np.unique(keys[kinds == kind], return_inverse=True)
+        table = np.zeros((len(own), len(languages)))
+        table[at, langs[kinds == kind]] = n[kinds == kind]
         logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(len(table), 1)))
-        tables += [got.column("key").to_numpy().astype(np.int64).view(np.uint64), logs]
+        tables += [own.view(np.uint64), logs]
     return LanguageModel(languages, *tables)
 
 
@@ -146,6 +154,9 @@ def _add(sums: np.ndarray, owner: np.ndarray, logs: np.ndarray, rows: np.ndarray
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is told with at least min_score; rows without a letter go. Rows with a null id stay."""
+    """The rows of docs whose language is told with at least min_score; rows without a letter go. Rows with a null id stay.
+
+    Rows that repeat an id are one document: if one of them is rejected, all go.
+    """
     rejected = predict(docs, model, id_col, text_col).where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select(id_col)
     return docs.join(rejected, id_col, "left_anti")
