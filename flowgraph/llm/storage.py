@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share; the cluster names it in spark.checkpoint.dir.
 
-    Where nothing is set (a local session, a test) a temporary folder of this machine is set and used.
+    Where nothing is set, a session on this machine alone (a test) gets a temporary folder; a cluster's does not, as its
+    executors would not see it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         shared = spark.sparkContext.getCheckpointDir()
     return shared

@@ -391,6 +391,24 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert kept[0] == clean | {1, 4} and kept[1] == clean | {4} and kept[2] == clean | {4} and kept[3] == kept[4] == clean
 
 
+def test_large_ids_stay_next_to_null_ones(spark):
+    ids = [None, (1 << 60) + 1, (1 << 53) + 1, -(1 << 62) + 1]
+    docs = spark.createDataFrame([(i, f"text number {n} of some", "aa") for n, i in enumerate(ids)], "doc_id long, text string, lang string").repartition(1)
+    same = lambda df: {r.doc_id for r in df.select("doc_id").collect()} == set(ids)
+    assert same(packing.pack(docs, WORD_BPE)) and same(pitmanyor.score(docs, "true")) and same(tokencount.count_tokens(docs, PIECES))
+    assert same(linededup.delete_repeated_runs(docs)) and same(simhash.near_duplicate_groups(docs)) and same(parsing.edit_report(docs, parts=2))
+    assert same(decontaminate.contamination(docs, spark.createDataFrame([(1, "text number")], "item_id long, text string")))
+    assert same(langid.predict(docs, langid.train(docs)))
+
+
+def test_an_item_of_many_rows_is_listed_once_and_an_empty_benchmark_hits_nothing(spark):
+    docs = docs_of(spark, ["one two three four", "other words", None])
+    items = spark.createDataFrame([(i, "two three") for i in (3, 12, 3)] + [(5, "three four")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {0: (3, ["12", "3", "5"]), 1: (0, []), 2: (0, [])}
+    assert decontaminate.drop_contaminated(docs, items.where("false")).count() == 3
+
+
 def test_null_ids_and_repeated_rows_stay(spark):
     rows = [(None, "some text here. and more of it", None, None, "x"), (None, None, None, None, None), (5, "twice the same", "aa", 1, "x"), (5, "twice the same", "aa", 1, "x"), (3, "", "bb", None, "y")]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
