@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and written in the folder that all executors share, without its lineage.
 
-    The cluster names the folder in spark.checkpoint.dir; where nothing is set, one of this machine is.
+    The cluster names the folder in spark.checkpoint.dir. Where nothing is set, a session on this machine alone gets a
+    temporary one.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
