@@ -117,7 +117,7 @@ def test_language_model_beats_unigrams(spark):
     for r in rows:
         own = cut(texts[r.doc_id])
         assert (r.train, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id % 3 != 0, len(own), sum(w in counts for w in own), n)
-        assert r.base_score == pytest.approx(sum(np.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in own), rel=1e-6)
+        assert r.base_score == pytest.approx(sum(np.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in own), rel=1e-12)
     held = [r for r in rows if not r.train and r.doc_id < 60]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert pitmanyor.score(docs_of(spark, texts), "false").where("score = 0 and n_known = 0").count() == len(texts)  # one kind, the unknown
@@ -143,23 +143,62 @@ def test_context_words_are_counted_whole(spark):
     assert pitmanyor.context_words(docs)[0] == common  # eight times, others three
 
 
+def test_scores_do_not_hang_on_partitions_or_buckets(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["the cat", "a dog", "the dog", f"rare{rng.randrange(40)}"]) for _ in range(40)) for _ in range(40)]
+    one = {r.doc_id: r.score for r in pitmanyor.score(docs_of(spark, texts, parts=1), "doc_id % 3 <> 0").collect()}
+    monkeypatch.setattr(pitmanyor.np, "log2", lambda x: 5.0)  # 32 buckets instead of 8
+    many = {r.doc_id: r.score for r in pitmanyor.score(docs_of(spark, texts, parts=5), "doc_id % 3 <> 0").collect()}
+    assert one == pytest.approx(many, rel=1e-12)
+
+
+def all_seatings(customers, room, weight, discount):
+    """The probability of each number of tables, from all ways to seat customers one by one."""
+    chance = {}
+
+    def seat(sizes, left, w):
+        if not left:
+            chance[len(sizes)] = chance.get(len(sizes), 0) + w
+            return
+        for i, n in enumerate(sizes):
+            seat([*sizes[:i], n + 1, *sizes[i + 1 :]], left - 1, w * (n - discount))
+        seat([*sizes, 1], left - 1, w * (room + discount * len(sizes)) * weight)
+
+    seat([], customers, 1.0)
+    return {t: w / sum(chance.values()) for t, w in chance.items()}
+
+
+def test_tables_are_drawn_from_all_seatings():
+    keys, n = np.arange(1, 40_001, dtype=np.uint64), 40_000
+    for customers, room, weight, discount in ((2, 1.0, 0.3, 0.5), (5, 40.0, 0.1, 0.8), (7, 3.0, 0.9, 0.2)):
+        got = pitmanyor.draw_tables(np.full(n, customers), np.full(n, room), np.full(n, weight), discount, keys, 7)
+        for t, p in all_seatings(customers, room, weight, discount).items():
+            assert np.mean(got == t) == pytest.approx(p, abs=0.012)
+    many = pitmanyor.draw_tables(np.array([0, 1, 1024, 1025, 100_000]), np.full(5, 2.0), np.full(5, 0.01), 0.5, keys[:5], 1)
+    assert many[0] == 0 and many[1] == 1 and (many[2:] >= 1).all() and many[4] < 2000
+
+
 def test_seating_is_a_distribution():
-    keys = np.array([(w << 7) | c for w in range(1, 6) for c in (0, 1)], dtype=np.uint64)
-    trains = np.array([3, 0, 1, 2, 100, 7, 1, 1, 0, 5])
-    customers = np.array([trains[0::2].sum(), trains[1::2].sum()] + [0] * 126, dtype=float)
-    seating = pitmanyor.Seating(keys, trains, pitmanyor.Model(trains.sum(), 5, 0.5, 0.5, customers, np.zeros(128), 0, 0), np.random.default_rng(1))
+    keys = np.array([(w << 12) | c for w in range(1, 6) for c in (0, 2, 3)], dtype=np.uint64)  # nothing before, word 1 before, and directly
+    trains = np.array([3, 0, 4, 1, 2, 0, 100, 7, 30, 1, 1, 1, 0, 5, 0])
+    leaf, direct = np.zeros(2048), np.zeros(2048)
+    leaf[1], direct[0], direct[1] = trains[2::3].sum(), trains[0::3].sum(), trains[1::3].sum()
+    model = pitmanyor.Model(trains.sum(), 5, (0.4, 0.5, 0.6), leaf, np.zeros(2048), direct, np.zeros(2048), 0)
+    seating = pitmanyor.Seating(keys, trains, model, 1)
     m = seating.model
     for _ in range(3):  # totals that fit the seats
-        m.tables = np.bincount(seating.context, weights=seating.t, minlength=128)
-        m.root_customers, m.root_tables = seating.root_c.sum(), seating.root_t.sum()
-        root_new = (m.strength + m.d_root * m.root_tables) / (m.v + 1)
-        seating.root_p = (seating.root_c - m.d_root * seating.root_t + root_new) / (m.strength + m.root_customers)
-        unknown = root_new / (m.strength + m.root_customers)
-        for c in (0, 1):
-            rest = (m.strength + m.d_context * m.tables[c]) * unknown / (m.strength + customers[c])
-            assert seating.predictive()[c::2].sum() + rest == pytest.approx(1)
+        tables = seating.totals()
+        m.leaf_tables, m.mid_tables, m.root_tables = tables[:2048], tables[2048:-1], tables[-1]
+        p = seating.predictive()
+        unknown = (m.strength[2] + m.discount[2] * m.root_tables) / (m.v + 1) / (m.strength[2] + m.root_customers)
+        for f in (0, 1):
+            rest = (m.strength[1] + m.discount[1] * m.mid_tables[f]) * unknown / (m.strength[1] + m.mid_customers[f])
+            assert p[f::3].sum() + rest == pytest.approx(1)
+        rest *= (m.strength[0] + m.discount[0] * m.leaf_tables[1]) / (m.strength[0] + leaf[1])
+        assert p[2::3].sum() + rest == pytest.approx(1)
         seating.sweep()
-    assert (seating.t <= trains).all() and (seating.t >= (trains > 0)).all()
+    c = trains[2::3]
+    assert (seating.t_leaf <= c).all() and (seating.t_leaf >= (c > 0)).all() and (seating.t_mid <= seating.customers()).all()
 
 
 def test_token_counts_are_the_best_segmentation(spark):
