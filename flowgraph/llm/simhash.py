@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from flowgraph.llm.components import connected_components
 from flowgraph.llm.storage import materialize
-from flowgraph.llm.textops import slices
+from flowgraph.llm.textops import LOWER, gram_hashes, mix, slices, span_hashes, spans, text_bytes
 
+_NOT_WHITE = np.ones(256, dtype=bool)
+_NOT_WHITE[[32, *range(9, 14)]] = False
 #: Shingles whose bits are counted at a time.
 _STEP = 100_000
 
@@ -59,8 +61,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return read.mapInArrow(run, f"id {kind}, fp long")
 
 
+def distances(values: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Bits in which each row of values (64-bit words) differs from one."""
+    return np.bitwise_count(values ^ one).sum(axis=1, dtype=np.int64)
+
+
 class BKTree:
-    """A BK-tree over 64-bit values: a child hangs on the edge of its distance to the parent."""
+    """A BK-tree over rows of 64-bit words: a child hangs on the edge of its distance to the parent."""
 
     def __init__(self, values: np.ndarray):
         self.values = values
@@ -70,7 +77,7 @@ class BKTree:
             members = todo.pop()
             node, rest = int(members[0]), members[1:]
             if len(rest):
-                far = np.bitwise_count(values[rest] ^ values[node])
+                far = distances(values[rest], values[node])
                 for edge in np.unique(far):
                     below = rest[far == edge]
                     self.children[node].append((int(edge), int(below[0])))
@@ -81,7 +88,7 @@ class BKTree:
         todo = [(0, np.arange(len(queries)))] if len(self.values) and len(queries) else []
         while todo:
             node, asked = todo.pop()
-            far = np.bitwise_count(queries[asked] ^ self.values[node]).astype(np.int64)
+            far = distances(queries[asked], self.values[node])
             near = asked[far <= radius]
             if len(near):
                 yield node, near
@@ -91,25 +98,133 @@ class BKTree:
                     todo.append((child, go))
 
 
-def spanning_links(values: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int) -> np.ndarray:
-    """labels: members linked (also over others) have the same label, the lowest index among them."""
-    labels = np.arange(len(values))
-    nodes, queries = np.flatnonzero(in_tree), np.flatnonzero(asks)
-    for node, near in BKTree(values[nodes]).within(values[queries], radius):
-        met = np.unique(np.append(labels[queries[near]], labels[nodes[node]]))
-        if len(met) > 1:
-            labels[np.isin(labels, met)] = met[0]
+#: Rows from which on a shard's first members are compared with all others before a tree is built, and so many of them.
+_DENSE, _PIVOTS = 256, 16
+
+
+def merge(labels: np.ndarray, members: np.ndarray) -> None:
+    met = np.unique(labels[members])
+    if len(met) > 1:
+        labels[np.isin(labels, met)] = met[0]
+
+
+def linked(values: np.ndarray, radius: int, known: np.ndarray | None = None) -> np.ndarray:
+    """labels: rows within the radius of each other, also over others, have the same label, the lowest index among them.
+
+    known: labels to start from. Where many rows are near copies of each other, a few of them reach nearly all; pairs of
+    one label need not be compared any more, so the tree is asked only by rows outside the largest group.
+    """
+    labels = np.arange(len(values)) if known is None else known
+    if len(values) > _DENSE:
+        for _ in range(_PIVOTS):
+            outside = np.flatnonzero(labels != _main(labels))
+            if not len(outside):
+                return labels
+            pivot = outside[0]
+            merge(labels, np.append(np.flatnonzero(distances(values, values[pivot]) <= radius), pivot))
+        queries = np.flatnonzero(labels != _main(labels))
+    else:
+        queries = np.arange(len(values))
+    for node, near in BKTree(values).within(values[queries], radius):
+        merge(labels, np.append(queries[near], node))
     return labels
 
 
+def _main(labels: np.ndarray) -> int:
+    """The label of most rows."""
+    return int(np.argmax(np.bincount(labels)))
+
+
+def shard_links(rows: DataFrame, shard: list[str], radius: int, shard_rows: int, pivots: int = 64) -> DataFrame:
+    """(a, b) links between representatives of fingerprints that share a shard; chains of them join all within the radius.
+
+    rows: shard columns, fp (binary, 64-bit words), rep; a fingerprint is in a shard once. Each shard is a BK-tree that
+    only its own members ask. A shard of more than shard_rows is cut into parts. About `pivots` of its members go to all
+    parts; who is linked to their main group, in whatever part, is linked to all others that are. Only the rest is sent
+    to all parts and asked there, so a large group of near copies costs no more than its rows, and no task holds more
+    than a part and the rest.
+    """
+    sizes = rows.groupBy(*shard).agg(F.count("*").alias("size")).where("size > 1")
+    sizes = materialize(sizes.withColumn("parts", F.ceil(F.col("size") / shard_rows).cast("int")), "shards")
+    hot = sizes.where("parts > 1")
+    small = rows.join(sizes.where("parts = 1").select(*shard), shard).repartition(*shard).sortWithinPartitions(*shard, "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _sorted_groups(batches, shard):
+            yield from _as_links(linked(_matrix(group["fp"]), radius), group["rep"])
+
+    found = small.mapInArrow(run, "a long, b long")
+    if hot.isEmpty():
+        return found.distinct()
+    keys, kinds = [*shard, "part"], {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    own = rows.join(F.broadcast(hot) if hot.count() < 10_000 else hot, shard)
+    own = own.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    chosen = own.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.col("size")) < pivots)
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    guests = chosen.select(*shard, "fp", "rep", "parts", everywhere, F.lit(1).alias("guest"))
+    both = own.select(*shard, "fp", "rep", "parts", "part", F.lit(0).alias("guest")).unionByName(guests)
+    both = both.repartition(*keys).sortWithinPartitions(*keys, "guest", "fp")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links within parts and with pivots; then the members that are not linked to the pivots' main group."""
+        for group in _sorted_groups(batches, keys):
+            values, guest, rep = _matrix(group["fp"]), group["guest"] == 1, group["rep"]
+            pivot = np.flatnonzero(guest)
+            labels = np.arange(len(rep))
+            if len(pivot):
+                among = linked(values[pivot], radius)
+                labels[pivot] = pivot[among]
+                main = pivot[among[0] if len(pivot) == 1 else _main(among)]
+            labels = linked(values, radius, labels)
+            yield from _as_links(labels, rep, ["a", "b", *keys, "fp", "rep", "parts"], kinds)
+            rest = np.flatnonzero(~guest & ((labels != labels[main]) if len(pivot) else True))
+            if len(rest):
+                none = pa.nulls(len(rest), pa.int64())
+                columns = [none, none, *(pa.array(group[c][rest]) for c in (*keys, "fp", "rep", "parts"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", *keys, "fp", "rep", "parts"])
+
+    types = ", ".join(f"{c} {kinds.get(c, 'int')}" for c in (*keys, "fp", "rep", "parts"))
+    told = materialize(both.mapInArrow(first, f"a long, b long, {types}"), "parts")
+    rest = told.where("rep is not null").select(*shard, "fp", "rep", everywhere, F.lit(1).alias("guest"))
+    if not rest.isEmpty():
+        again = own.select(*shard, "fp", "rep", "part", F.lit(0).alias("guest")).join(rest.select(*shard).distinct(), shard, "left_semi")
+        again = again.unionByName(rest).repartition(*keys).sortWithinPartitions(*keys, "guest", "fp")
+
+        def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in _sorted_groups(batches, keys):
+                values, guest = _matrix(group["fp"]), group["guest"] == 1
+                labels, asks = np.arange(len(values)), np.flatnonzero(guest)
+                for node, near in BKTree(values).within(values[asks], radius):
+                    merge(labels, np.append(asks[near], node))
+                yield from _as_links(labels, group["rep"])
+
+        found = found.union(again.mapInArrow(second, "a long, b long"))
+    return found.union(told.where("a is not null").select("a", "b")).distinct()
+
+
+def _as_links(labels: np.ndarray, rep: np.ndarray, names: list[str] | None = None, kinds: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """Links of each row to the first one of its label, with nulls for further columns."""
+    at = np.flatnonzero(rep[labels] != rep)
+    if len(at):
+        columns, names = [pa.array(rep[labels[at]]), pa.array(rep[at])], names or ["a", "b"]
+        columns += [pa.nulls(len(at), _NULLS[(kinds or {}).get(c, "int")]) for c in names[2:]]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+_NULLS = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+
+
+def _matrix(fps: np.ndarray) -> np.ndarray:
+    """Binary fingerprints as rows of 64-bit words."""
+    return np.frombuffer(b"".join(fps.tolist()), dtype="<u8").reshape(len(fps), -1).astype(np.uint64)
+
+
 def near_links(fps: DataFrame, radius: int = 3, shard_rows: int = 20_000, full_bucket: int = 256) -> DataFrame:
     """(a, b) links between the representatives of distinct fingerprints; chains of them join all within the radius.
 
     fps: (fp, rep), fp distinct. The 64 bits are cut into blocks; fingerprints within the radius agree in all
     blocks but radius of them, so each choice of the other blocks makes shards that together miss no pair. The
-    number of blocks grows with the table, so that a shard of unrelated fingerprints stays small. Each shard is a
-    BK-tree that only its own members ask; a shard of more than shard_rows (near copies by the thousand) is cut
-    into sub-trees, each asked by each part of the shard, so a task never holds more than two parts.
+    number of blocks grows with the table, so that a shard of unrelated fingerprints stays small.
     """
     n = fps.count()
     blocks = radius + 1
@@ -121,25 +236,9 @@ def near_links(fps: DataFrame, radius: int = 3, shard_rows: int = 20_000, full_b
         mask = sum((1 << edges[i + 1]) - (1 << edges[i]) for i in chosen)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     shard = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)]))
-    rows = fps.where("rep is not null").select("fp", "rep", shard.alias("s")).select("fp", "rep", "s.*")
-    sizes = rows.groupBy("choice", "bits").agg(F.count("*").alias("size")).where("size > 1")
-    parts = F.ceil(F.col("size") / shard_rows).cast("int")
-    rows = rows.join(sizes, ["choice", "bits"]).withColumn("parts", parts)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lo, hi = F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
-    rows = rows.select("choice", "bits", lo, hi, F.col("own"), "fp", "rep")
-    rows = rows.repartition("choice", "bits", "lo", "hi").sortWithinPartitions("choice", "bits", "lo", "hi", "fp")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _sorted_groups(batches, ["choice", "bits", "lo", "hi"]):
-            own, rep = group["own"], group["rep"]
-            labels = spanning_links(group["fp"].view(np.uint64), own == group["lo"], own == group["hi"], radius)
-            linked = np.flatnonzero(labels != np.arange(len(labels)))
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[labels[linked]]), pa.array(rep[linked])], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    as_bytes = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
+    rows = fps.where("rep is not null").select("fp", "rep", shard.alias("s")).select(as_bytes.alias("fp"), "rep", "s.*")
+    return shard_links(rows, ["choice", "bits"], radius, shard_rows)
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -183,13 +282,84 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+#: Bits of the fingerprints of near_copy_groups, in 64-bit words; words of its shingles.
+COPY_WORDS, COPY_SHINGLE = 4, 5
+
+
+def copy_marks(texts: pa.Array, bands: int, values: int) -> tuple[np.ndarray, np.ndarray]:
+    """SimHashes of COPY_WORDS words over each text's set of shingles, and its shard of each band.
+
+    A shard is named by the least hashes of the text's shingles under `values` orders, so two texts share that of a
+    band with a chance of their similarity to the power of `values`.
+    """
+    data, offsets = text_bytes(texts)
+    data = LOWER[data]
+    starts, ends, bounds = spans(_NOT_WHITE[data], offsets)
+    words, sizes = span_hashes(data, starts, ends), np.diff(bounds)
+    grams, at = gram_hashes(words, bounds, COPY_SHINGLE)
+    owner = np.searchsorted(bounds, at, side="right") - 1
+    for i in np.flatnonzero((sizes > 0) & (sizes < COPY_SHINGLE)):
+        whole = gram_hashes(words[bounds[i] : bounds[i + 1]], np.array([0, sizes[i]]), int(sizes[i]))[0]
+        grams, owner = np.append(grams, whole), np.append(owner, i)
+    order = np.lexsort((grams, owner))
+    grams, owner = grams[order], owner[order]
+    new = np.ones(len(grams), dtype=bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+    grams, owner = grams[new], owner[new]
+    fps, shards = np.zeros((len(texts), COPY_WORDS), dtype=np.uint64), np.zeros((len(texts), bands), dtype=np.uint64)
+    if not len(grams):
+        return fps, shards
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    own, n = owner[first], np.diff(np.append(first, len(grams)))
+    for i in range(COPY_WORDS):
+        bits = np.unpackbits(mix(grams + np.uint64(i + 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) > n[:, None]
+        fps[own, i] = np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
+    for band in range(bands):
+        key = np.full(len(own), np.uint64(band))
+        for i in range(values):
+            key = mix(key + np.minimum.reduceat(mix(grams + np.uint64(1000 + band * values + i)), first))
+        shards[own, band] = key
+    return fps, shards
+
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 48, shard_rows: int = 20_000, bands: int = 6, values: int = 2) -> DataFrame:
+    """(id, component_id): documents whose sets of 5-word shingles have a similarity (Jaccard) of about 0.8 or more share a component.
+
+    The similarity is read off SimHashes of 256 bits: sets of similarity 0.8 differ in 39 bits on average, with a
+    deviation of 6; those within `radius` are linked, also over others. Fingerprints meet in the BK-trees of shards that
+    the texts' least shingle hashes name, `bands` of them; a pair of similarity 0.8 shares none in 0.2 % of the cases.
+    Unrelated texts share no shard, however many there are. Words are runs of non-white ASCII, A-Z lower-cased; a text
+    of fewer than five words is one shingle; texts without words are copies of each other. component_id is the smallest
+    id of the component. Null ids stay, but name no component; an empty table gives an empty result; other columns are
+    ignored. Ids must fit a long.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1_000_000):
+            fps, shards = copy_marks(batch.column("text"), bands, values)
+            columns = [batch.column("id"), pa.array([x.tobytes() for x in fps], pa.binary()), pa.array(shards.view(np.int64).tolist(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "shards"])
+
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    marked = materialize(read.mapInArrow(run, "id long, fp binary, shards array<long>"), "marked")
+    nodes = materialize(marked.groupBy("fp", "shards").agg(F.min("id").alias("rep")), "nodes")
+    rows = nodes.where("rep is not null").select("fp", "rep", F.posexplode("shards").alias("band", "bits"))
+    groups = connected_components(shard_links(rows, ["band", "bits"], radius, shard_rows))
+    named = nodes.join(groups, F.col("rep") == F.col("node"), "left").select("fp", "shards", F.coalesce("component", "rep").alias("component_id"))
+    return marked.join(named, ["fp", "shards"]).select(F.col("id").alias(id_col), "component_id")
+
+
 def fingerprint_hex(fp: str = "fp"):
     """16 lower-case hex digits of a signed long."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of its near-duplicate group; rows with a null id stay."""
-    groups = near_duplicate_groups(docs, id_col, text_col, **options)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicate_groups, **options) -> DataFrame:
+    """The rows of docs whose id is the smallest of its group, as `groups` finds them; rows with a null id stay.
+
+    Rows that repeat an id are one document: if one of them is a copy of an earlier document, all go.
+    """
+    found = groups(docs, id_col, text_col, **options)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti")

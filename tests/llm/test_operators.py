@@ -379,6 +379,58 @@ def test_simhash_groups_are_brute_force(spark):
     assert simhash.near_duplicate_groups(docs_of(spark, texts).where("false")).count() == 0
 
 
+def shingles(text, k=5):
+    own = (text or "").encode().lower().split()
+    return {tuple(own[i : i + k]) for i in range(max(1, len(own) - k + 1))} if own else set()
+
+
+def test_near_copies_of_similarity_four_fifths_are_found(spark):
+    rng = random.Random(13)
+    texts, pairs = [], []
+    for i in range(150):
+        base = [f"v{rng.randrange(5000)}" for _ in range(300)]
+        texts.append(" ".join(base))
+        for _ in range(2):
+            copy = list(base)
+            for at in rng.sample(range(300), rng.randrange(1, 7)):
+                copy[at] = f"v{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    texts += EDGES
+    got = {r.doc_id: r.component_id for r in simhash.near_copy_groups(docs_of(spark, texts)).collect()}
+    for i in range(0, 450, 3):
+        for a, b in ((i, i + 1), (i, i + 2), (i + 1, i + 2)):
+            x, y = shingles(texts[a]), shingles(texts[b])
+            if len(x & y) >= 0.8 * len(x | y):
+                pairs.append(got[a] == got[b])
+    assert len(pairs) > 200 and np.mean(pairs) >= 0.95
+    assert all(got[i] // 3 == i // 3 for i in range(450))  # no others
+    assert got[450] == got[451] == got[452] == 450 and got[456] == got[457] == 456 and got[458] == 458
+    assert simhash.near_copy_groups(docs_of(spark, texts).where("false")).count() == 0
+
+
+def test_a_large_group_is_cut_into_parts_and_loses_no_link(spark):
+    rng = random.Random(14)
+    centre = rng.getrandbits(64)
+    values = {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(400)}  # one tight group
+    chain = [rng.getrandbits(64)]
+    for _ in range(60):  # and a long one
+        chain.append(chain[-1] ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    values = sorted(values | set(chain) | {rng.getrandbits(64) for _ in range(100)})
+    rows = [(v.to_bytes(8, "big"), i, 0, 0) for i, v in enumerate(values)]
+    table = spark.createDataFrame(rows, "fp binary, rep long, choice int, bits long")
+    label = simhash.linked(np.array(values, dtype=np.uint64)[:, None], 3)
+    slow = list(range(len(values)))
+    for i, a in enumerate(values):
+        for j in range(i):
+            if (a ^ values[j]).bit_count() <= 3 and slow[i] != slow[j]:
+                low, high = sorted((slow[i], slow[j]))
+                slow = [low if x == high else x for x in slow]
+    assert label.tolist() == slow
+    for shard_rows, pivots in ((1000, 64), (60, 64), (60, 4), (60, 0)):
+        found = {r.node: r.component for r in connected_components(simhash.shard_links(table, ["choice", "bits"], 3, shard_rows, pivots)).collect()}
+        assert [found.get(i, i) for i in range(len(values))] == slow
+
+
 def test_parsing_is_local_and_reports_edits(spark):
     rng = random.Random(7)
     shared = "".join(rng.choice("abcdefgh ") for _ in range(3000))
