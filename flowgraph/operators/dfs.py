@@ -93,11 +93,29 @@ def idom(tree: DataFrame) -> DataFrame:
     return tree.select(*NODE, "idom")
 
 
+def ancestors(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(graph_id, top, node_id, distance): every node with each of its ancestors, itself at distance 0, of a parent table.
+
+    Round k joins the pairs of distance below 2**k with the jumps of 2**k, so each pair is made once and rounds are the
+    logarithm of the depth. A node that is its own parent is a root; the pointers must have no other cycle.
+    """
+    up = parents.where("parent is not null and parent <> node_id").select("graph_id", F.col("node_id").alias("top"), F.col("parent").alias("next"))
+    found = cut(parents.select("graph_id", F.col("node_id").alias("top"), "node_id", F.lit(0).alias("distance")))
+    jumps = cut(up)
+    for k in range(max_rounds):
+        if jumps.isEmpty():
+            return found
+        more = found.join(jumps, ["graph_id", "top"]).select("graph_id", F.col("next").alias("top"), "node_id", (F.col("distance") + (1 << k)).alias("distance"))
+        found = found.union(cut(more))
+        after = jumps.select("graph_id", F.col("top").alias("next"), F.col("next").alias("far"))
+        jumps = cut(jumps.join(after, ["graph_id", "next"]).select("graph_id", "top", F.col("far").alias("next")))
+    raise RuntimeError("the pointers have a cycle")
+
+
 def dominance_pairs(tree: DataFrame) -> DataFrame:
-    """(graph_id, dominator, node_id), reflexive: an interval join inside each graph."""
-    top = tree.select("graph_id", F.col("node_id").alias("dominator"), F.col("dom_pre").alias("lo"), (F.col("dom_pre") + F.col("dom_size")).alias("hi"), F.col("dom_depth").alias("depth"))
-    low = tree.select(*NODE, F.col("dom_pre").alias("at"), F.col("dom_depth").alias("own"))
-    return top.join(low, "graph_id").where("at >= lo and at < hi").select("graph_id", "dominator", "node_id", (F.col("own") - F.col("depth")).alias("distance"))
+    """(graph_id, dominator, node_id, distance), reflexive: the ancestors in the dominator tree."""
+    found = ancestors(tree.select(*NODE, F.col("idom").alias("parent")))
+    return found.select("graph_id", F.col("top").alias("dominator"), "node_id", "distance")
 
 
 def dominators(tree: DataFrame) -> DataFrame:
@@ -122,13 +140,5 @@ def alt_tree(tree: DataFrame) -> DataFrame:
 
 
 def subtree_members(parents: DataFrame) -> DataFrame:
-    """(graph_id, top, node_id): every node with each of its ancestors and itself, for any parent table, by doubling paths."""
-    pairs = cut(parents.where("parent is not null and parent <> node_id").select("graph_id", F.col("parent").alias("top"), "node_id"))
-    known = pairs
-    while True:
-        via = known.select("graph_id", F.col("top").alias("mid"), F.col("node_id").alias("low"))
-        longer = via.join(known.select("graph_id", "top", F.col("node_id").alias("mid")), ["graph_id", "mid"]).select("graph_id", "top", F.col("low").alias("node_id"))
-        grown = cut(known.union(longer).distinct())
-        if grown.count() == known.count():
-            return grown.union(parents.select("graph_id", F.col("node_id").alias("top"), "node_id"))
-        known = grown
+    """(graph_id, top, node_id): every node with each of its ancestors and itself, for any parent table."""
+    return ancestors(parents).select("graph_id", "top", "node_id")

@@ -54,16 +54,38 @@ def scc(g: Graph) -> DataFrame:
     return per_graph(g, _components, "node_id long, bivertex long")
 
 
+def _trimmed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Nodes and edges without those that no edge enters or leaves, again and again; and the nodes that went."""
+    gone = None
+    while True:
+        both = edges.select("graph_id", F.col("src").alias("node_id"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("graph_id", "dst", F.lit(0), F.lit(1)))
+        degrees = both.groupBy(*NODE).agg(F.max("out").alias("out"), F.max("into").alias("into"))
+        marked = cut(nodes.join(degrees.where("out = 1 and into = 1").select(*NODE, F.lit(True).alias("kept")), NODE, "left"))
+        out = marked.where("kept is null").select(*NODE)
+        if out.isEmpty():
+            return nodes, edges, gone
+        gone = out if gone is None else gone.union(out)
+        nodes = marked.where("kept").select(*NODE)
+        for end in ("src", "dst"):
+            edges = edges.join(nodes.withColumnRenamed("node_id", end), ["graph_id", end], "left_semi")
+        edges = cut(edges)
+
+
 def scc_by_joins(g: Graph, max_rounds: int = 10_000) -> DataFrame:
     """(graph_id, node_id, component) over all nodes, for graphs of any size; component is the least member.
 
-    Each round colours nodes with the least node that reaches them and takes, for each colour, the nodes that reach
-    its namesake within the colour; what is left goes on.
+    Nodes that no edge enters or leaves are components of their own and go first. Each round colours the others with the
+    least node that reaches them and takes, for each colour, the nodes that reach its namesake within the colour; what
+    is left goes on.
     """
     nodes, edges, found = cut(g.nodes.select(*NODE)), cut(g.edges.select("graph_id", "src", "dst").where("src <> dst").distinct()), None
     for _ in range(max_rounds):
+        nodes, edges, alone = _trimmed(nodes, edges)
+        if alone is not None:
+            alone = alone.withColumn("component", F.col("node_id"))
+            found = alone if found is None else found.union(alone)
         if nodes.isEmpty():
-            return found
+            return nodes.withColumn("component", F.col("node_id")) if found is None else found
         colour = cut(nodes.withColumn("colour", F.col("node_id")))
         while True:
             came = edges.join(colour.select("graph_id", F.col("node_id").alias("src"), F.col("colour").alias("__c")), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.min("__c").alias("__c"))

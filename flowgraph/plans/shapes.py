@@ -52,6 +52,17 @@ def l3_scc_by_joins(spark, sf_dir):
     return regions.scc_by_joins(derive.order_graph(spark, sf_dir))
 
 
+@query("l3_scc_large", sql.query(sql.PART, sql.REACH, """back AS (SELECT graph_id, start AS node_id FROM starts UNION SELECT e.graph_id, e.src FROM back b JOIN edges e ON e.graph_id = b.graph_id AND e.dst = b.node_id),
+  mine AS (SELECT node_id FROM reach INTERSECT SELECT node_id FROM back)""",
+    select="SELECT n.node_id, CASE WHEN m.node_id IS NULL THEN 0 ELSE 1 END AS with_start FROM nodes n LEFT JOIN mine m USING (node_id)"))
+def l3_scc_large(spark, sf_dir):
+    """One large graph, by joins alone: which nodes share the start's component."""
+    g = derive.part_graph(spark, sf_dir)
+    found = regions.scc_by_joins(g)
+    own = found.join(g.starts.select("graph_id", F.col("start").alias("node_id")), ["graph_id", "node_id"], "left_semi").select("graph_id", F.col("component").alias("own"))
+    return found.join(F.broadcast(own), "graph_id").select("node_id", (F.col("component") == F.col("own")).cast("int").alias("with_start"))
+
+
 @query("l4_loop_forest", sql.query(sql.DAY, sql.dfs(), _LOOPS, select="SELECT l.graph_id, l.node_id, header, EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = l.graph_id AND e.src = l.node_id AND e.dst = l.node_id) AS has_self_loop FROM loop l"))
 def l4_loop_forest(spark, sf_dir):
     return regions.loop_forest(*_tree(spark, sf_dir))
@@ -75,24 +86,47 @@ def l7_forest_tree(spark, sf_dir):
     return regions.forest_tree(_forest(spark, sf_dir)[1])
 
 
-@query("h1_h2_orders", sql.query(sql.DAY, sql.REACH, select="SELECT graph_id, count(*) AS n, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS k_sum, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS l_sum, count(*) AS k_values, count(*) AS l_values FROM reach GROUP BY graph_id"))
-def h1_h2_orders(spark, sf_dir):
-    """K and L number the reached nodes of each graph from 0 without a gap."""
-    rows = regions.hammock_orders(derive.day_graph(spark, sf_dir))
-    return rows.groupBy("graph_id").agg(F.count("*").alias("n"), F.sum("k").alias("k_sum"), F.sum("l").alias("l_sum"), F.countDistinct("k").alias("k_values"), F.countDistinct("l").alias("l_values"))
+#: K by what it means: regions are nested or apart, so a node's place is the list of the numbers of all headers around it.
+_K = _REGION + """,
+korder AS (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY around) - 1 AS k FROM (
+  SELECT u.graph_id, u.node_id, list(h.rpo ORDER BY h.rpo) AS around FROM up u JOIN tree h ON h.graph_id = u.graph_id AND h.node_id = u.header GROUP BY u.graph_id, u.node_id))"""
 
 
-@query("h3_hammocks", sql.query(sql.DAY, sql.REACH, select="SELECT graph_id, CAST(0 AS BIGINT) AS wrong FROM reach GROUP BY graph_id"))
+@query("h1_h2_orders", sql.query(sql.DAY, sql.dfs(), _K, "sizes AS (SELECT graph_id, header, count(*) AS n FROM up GROUP BY graph_id, header)", "widest AS (SELECT graph_id, max(n) AS n FROM sizes GROUP BY graph_id)",
+    select="""SELECT o.graph_id, o.node_id, CAST(k AS BIGINT) AS k, CAST(s.n AS BIGINT) AS l_span, CAST(CASE WHEN w.n = 1 THEN k ELSE -1 END AS BIGINT) AS l_alone
+FROM korder o JOIN sizes s ON s.graph_id = o.graph_id AND s.header = o.node_id JOIN widest w ON w.graph_id = o.graph_id"""))
+def h1_h2_orders(spark, sf_dir):
+    """K of each node; the stretch of L that the node's region takes, which is the region's size; L itself where a graph has no loop, else -1."""
+    g, tree = _tree(spark, sf_dir)
+    order = dfs.cut(regions.hammock_orders(g))
+    inside = regions.scs(g, tree).join(order, ["graph_id", "node_id"])
+    spans = inside.groupBy("graph_id", F.col("header").alias("node_id")).agg((F.max("l") - F.min("l") + 1).cast("long").alias("l_span"), F.count("*").alias("size"))
+    widest = spans.groupBy("graph_id").agg(F.max("size").alias("widest"))
+    both = order.join(spans, ["graph_id", "node_id"]).join(widest, "graph_id")
+    return both.select("graph_id", "node_id", F.col("k").cast("long").alias("k"), "l_span", F.when(F.col("widest") == 1, F.col("l").cast("long")).otherwise(-1).alias("l_alone"))
+
+
+#: Every stretch of K, with what its edges do; a hammock is entered at its first node only and left to one node only.
+_HAMMOCKS = """node AS (SELECT o.graph_id, o.node_id, o.k, t.pre FROM korder o JOIN tree t ON t.graph_id = o.graph_id AND t.node_id = o.node_id),
+ends AS (SELECT DISTINCT e.graph_id, a.k AS a, b.k AS b, b.pre FROM edges e JOIN node a ON a.graph_id = e.graph_id AND a.node_id = e.src JOIN node b ON b.graph_id = e.graph_id AND b.node_id = e.dst),
+stretch AS (SELECT p.graph_id, p.k AS first, p.pre, q.k AS last, max(q.k) OVER (PARTITION BY p.graph_id) AS greatest FROM node p JOIN node q ON q.graph_id = p.graph_id AND q.k >= p.k),
+outward AS (SELECT s.graph_id, s.first, s.last, count(DISTINCT CASE WHEN e.pre < s.pre THEN e.b END) AS exits, max(CASE WHEN e.pre < s.pre THEN e.b END) AS leaves,
+    min(CASE WHEN e.pre >= s.pre THEN e.b END) AS low_out, max(CASE WHEN e.pre >= s.pre THEN e.b END) AS high_out
+  FROM stretch s JOIN ends e ON e.graph_id = s.graph_id AND e.a BETWEEN s.first AND s.last GROUP BY s.graph_id, s.first, s.last),
+inward AS (SELECT s.graph_id, s.first, s.last, min(e.a) AS low_in, max(e.a) AS high_in FROM stretch s JOIN ends e ON e.graph_id = s.graph_id AND e.b > s.first AND e.b <= s.last GROUP BY s.graph_id, s.first, s.last),
+told AS (SELECT s.graph_id, s.first, s.last, s.greatest, o.leaves, coalesce(o.high_out, -1) AS high_out, coalesce(i.high_in, -1) AS high_in FROM stretch s
+  LEFT JOIN outward o ON o.graph_id = s.graph_id AND o.first = s.first AND o.last = s.last LEFT JOIN inward i ON i.graph_id = s.graph_id AND i.first = s.first AND i.last = s.last
+  WHERE coalesce(o.exits, 0) <= 1 AND coalesce(o.low_out, s.first) >= s.first AND coalesce(i.low_in, s.first) >= s.first),
+cand AS (SELECT *, CASE WHEN leaves IS NOT NULL THEN CASE WHEN high_out <= last AND high_in <= last THEN leaves END
+    WHEN last = greatest THEN -1 WHEN high_out = last + 1 AND high_in <= last THEN last + 1 END AS exit FROM told)"""
+
+
+@query("h3_hammocks", sql.query(sql.DAY, sql.dfs(), _K, _HAMMOCKS, select="""SELECT c.graph_id, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, CAST(exit AS INTEGER) AS exit
+FROM cand c WHERE exit IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ends e WHERE e.graph_id = c.graph_id AND e.b = c.first AND e.a = c.exit)"""))
 def h3_hammocks(spark, sf_dir):
-    """Edges that enter a hammock behind its first node, or leave it to another node than its exit: none."""
+    """All hammocks of each graph."""
     g = derive.day_graph(spark, sf_dir)
-    order = dfs.cut(regions.hammock_orders(g))
-    found = regions.hammocks(g, order)
-    k = order.select("graph_id", "node_id", "k")
-    edges = g.edges.join(k.withColumnsRenamed({"node_id": "src", "k": "a"}), ["graph_id", "src"]).join(k.withColumnsRenamed({"node_id": "dst", "k": "b"}), ["graph_id", "dst"])
-    inside = lambda c: (F.col(c) >= F.col("first")) & (F.col(c) <= F.col("last"))
-    bad = found.join(edges, "graph_id").where((~inside("a") & inside("b") & (F.col("b") != F.col("first"))) | (inside("a") & ~inside("b") & (F.col("b") != F.col("exit"))))
-    return order.select("graph_id").distinct().join(bad.groupBy("graph_id").agg(F.count("*").alias("wrong")), "graph_id", "left").select("graph_id", F.coalesce("wrong", F.lit(0)).cast("long").alias("wrong"))
+    return regions.hammocks(g, dfs.cut(regions.hammock_orders(g)))
 
 
 _CHAIN = """chain AS (SELECT e.graph_id, edge_id, src, dst FROM edges e
@@ -139,72 +173,99 @@ def c4_remove_empty(spark, sf_dir):
     return simplify.remove_empty(derive.user_drop_graph(spark, sf_dir), F.col("info").startswith("view:"))[0].edges.select("graph_id", "edge_id", "src", "dst")
 
 
-def _cover_check(g, covered):
-    """For each graph: nodes with two covering edges on one side, and covering edges that are back edges."""
+def _best_sql(pairs: str) -> str:
+    """The best matching of pairs(graph_id, l, r, weight), r below 62, by trying all sets of right ends after each left one."""
+    return f"""{pairs},
+lefts AS (SELECT graph_id, l, row_number() OVER (PARTITION BY graph_id ORDER BY l) AS nth FROM (SELECT DISTINCT graph_id, l FROM pairs)),
+best AS (SELECT DISTINCT graph_id, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS total FROM pairs
+  UNION SELECT graph_id, nth, used, max(total) FROM (
+    SELECT b.graph_id, b.nth + 1 AS nth, b.used, b.total FROM best b JOIN lefts USING (graph_id) WHERE lefts.nth = b.nth + 1
+    UNION ALL SELECT b.graph_id, b.nth + 1, b.used | (CAST(1 AS BIGINT) << CAST(p.r AS INT)), b.total + p.weight FROM best b JOIN lefts USING (graph_id) JOIN pairs p ON p.graph_id = b.graph_id AND p.l = lefts.l
+      WHERE lefts.nth = b.nth + 1 AND (b.used & (CAST(1 AS BIGINT) << CAST(p.r AS INT))) = 0) GROUP BY graph_id, nth, used)"""
+
+
+def _cover_sql(weight: str) -> str:
+    """Edges that are not back edges as pairs of their ends, one for parallel ones."""
+    return _best_sql(f"""pairs AS (SELECT e.graph_id, e.src AS l, e.dst AS r, max({weight}) AS weight FROM edges e JOIN tree s ON s.graph_id = e.graph_id AND s.node_id = e.src
+  JOIN tree d ON d.graph_id = e.graph_id AND d.node_id = e.dst WHERE s.pre < d.pre OR d.rpo > s.rpo GROUP BY e.graph_id, e.src, e.dst)""")
+
+
+def _covered(g, covered, weight):
+    """For each graph: how many edges cover it, their weight, and what breaks the rules: two edges on one side of a node, back edges."""
     edges = g.edges.join(covered, ["graph_id", "edge_id"], "left_semi")
     twice = edges.groupBy("graph_id", "src").count().where("count > 1").select("graph_id").union(edges.groupBy("graph_id", "dst").count().where("count > 1").select("graph_id"))
     back = dfs.edge_sorts(g, dfs.dfst(g)).where("sort = 'back'").join(covered, ["graph_id", "edge_id"], "left_semi").select("graph_id")
     wrong = twice.union(back).groupBy("graph_id").agg(F.count("*").alias("wrong"))
-    return g.nodes.select("graph_id").distinct().join(wrong, "graph_id", "left").select("graph_id", F.coalesce("wrong", F.lit(0)).cast("long").alias("wrong"))
+    size = edges.groupBy("graph_id").agg(F.count("*").alias("covering"), F.sum(weight).alias("weight"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return g.nodes.groupBy("graph_id").agg(F.count("*").alias("n_nodes")).join(size, "graph_id", "left").join(wrong, "graph_id", "left").select("graph_id", "n_nodes", zero("covering"), zero("weight"), zero("wrong"))
 
 
-_NONE_WRONG = "SELECT DISTINCT graph_id, CAST(0 AS BIGINT) AS wrong FROM nodes"
+_COVERS = "SELECT n.graph_id, {columns}, CAST(0 AS BIGINT) AS wrong FROM (SELECT graph_id, count(*) AS n_nodes FROM nodes GROUP BY graph_id) n LEFT JOIN (SELECT graph_id, max(total) AS total FROM best GROUP BY graph_id) b USING (graph_id)"
 
 
-@query("p1_path_cover", sql.query(sql.DAY, select=_NONE_WRONG))
+@query("p1_path_cover", sql.query(sql.DAY, sql.dfs(), _cover_sql("1"), select=_COVERS.format(columns="CAST(coalesce(total, 0) AS BIGINT) AS covering, CAST(n_nodes - coalesce(total, 0) AS BIGINT) AS n_paths")))
 def p1_path_cover(spark, sf_dir):
+    """Covering edges and paths of each graph: as many and as few as can be."""
     g = derive.day_graph(spark, sf_dir)
-    return _cover_check(g, dfs.cut(cover.path_cover_edges(g)))
+    found = _covered(g, dfs.cut(cover.path_cover_edges(g)), F.lit(1))
+    return found.select("graph_id", "covering", (F.col("n_nodes") - F.col("covering")).alias("n_paths"), "wrong")
 
 
-@query("p2_uncovered", sql.query(sql.DAY, sql.dfs(), f"sorts AS ({'SELECT e.graph_id, e.src, e.dst FROM edges e JOIN tree s ON s.graph_id = e.graph_id AND s.node_id = e.src JOIN tree d ON d.graph_id = e.graph_id AND d.node_id = e.dst WHERE NOT (d.pre <= s.pre AND d.rpo <= s.rpo)'})",
-    select="SELECT count(*) AS wrong FROM (SELECT graph_id FROM sorts WHERE false)"))
-def p2_uncovered(spark, sf_dir):
-    """Edges, not back, between two nodes that no covering edge touches: none, or the covering were not maximal."""
+@query("p4_weighted_cover", sql.query(sql.DAY, sql.dfs(), _cover_sql("edge_id % 5 + 1"), select=_COVERS.format(columns="CAST(coalesce(total, 0) AS BIGINT) AS weight")))
+def p4_weighted_cover(spark, sf_dir):
+    """The greatest total weight of a covering, by weights from edge ids."""
     g = derive.day_graph(spark, sf_dir)
-    covered = dfs.cut(cover.path_cover_edges(g))
-    free = dfs.cut(cover.uncovered_nodes(g, covered))
-    edges = g.edges.join(dfs.edge_sorts(g, dfs.dfst(g)).where("sort <> 'back'"), ["graph_id", "edge_id"], "left_semi")
-    for end in ("src", "dst"):
-        edges = edges.join(free.withColumnRenamed("node_id", end), ["graph_id", end], "left_semi")
-    return edges.agg(F.count("*").alias("wrong"))
+    g = g.with_(edges=g.edges.withColumn("weight", F.col("edge_id") % 5 + 1))
+    return _covered(g, dfs.cut(cover.path_cover_edges(g, "weight")), F.col("weight")).select("graph_id", "weight", "wrong")
 
 
-@query("p3_cover_paths", sql.query(sql.DAY, select="SELECT graph_id, count(*) AS n_nodes, CAST(0 AS BIGINT) AS broken FROM nodes GROUP BY graph_id"))
-def p3_cover_paths(spark, sf_dir):
-    """Every node is in one path, and the positions of a path have no gap."""
-    g = derive.day_graph(spark, sf_dir)
-    paths = cover.path_cover_paths(g, dfs.cut(cover.path_cover_edges(g)))
-    per_path = paths.groupBy("graph_id", "head").agg(F.count("*").alias("n"), (F.max("position") + 1 - F.countDistinct("position")).alias("gap"))
-    return per_path.groupBy("graph_id").agg(F.sum("n").alias("n_nodes"), F.sum("gap").cast("long").alias("broken"))
+#: A covering that both engines can tell: of the edges that go down in reverse postorder, each node's last one out, and of those each node's last one in.
+_GIVEN = """down AS (SELECT e.graph_id, e.edge_id, e.src, e.dst FROM edges e JOIN tree s ON s.graph_id = e.graph_id AND s.node_id = e.src JOIN tree d ON d.graph_id = e.graph_id AND d.node_id = e.dst WHERE s.rpo < d.rpo),
+given AS (SELECT * FROM (SELECT * FROM down QUALIFY row_number() OVER (PARTITION BY graph_id, src ORDER BY edge_id DESC) = 1) QUALIFY row_number() OVER (PARTITION BY graph_id, dst ORDER BY edge_id DESC) = 1)"""
 
 
-@query("p4_weighted_cover", sql.query(sql.DAY, select=_NONE_WRONG))
-def p4_weighted_cover(spark, sf_dir):
-    """By weights from edge ids."""
-    g = derive.day_graph(spark, sf_dir)
-    g = g.with_(edges=g.edges.withColumn("weight", F.col("edge_id") % 5 + 1))
-    return _cover_check(g, dfs.cut(cover.path_cover_edges(g, "weight")))
+def _given(g, tree):
+    number = tree.select("graph_id", "node_id", "rpo")
+    edges = g.edges.join(number.withColumnsRenamed({"node_id": "src", "rpo": "a"}), ["graph_id", "src"]).join(number.withColumnsRenamed({"node_id": "dst", "rpo": "b"}), ["graph_id", "dst"]).where("a < b")
+    for end in ("src", "dst"):
+        last = edges.groupBy("graph_id", end).agg(F.max("edge_id").alias("edge_id"))
+        edges = edges.join(last, ["graph_id", end, "edge_id"], "left_semi")
+    return dfs.cut(edges.select("graph_id", "edge_id"))
 
 
-_PAIRS = f"""{sql._EV}, pairs AS (SELECT user_id % 100 AS graph_id, user_id AS l, k % 6 AS r, count(*) AS weight FROM ev GROUP BY ALL),
-lefts AS (SELECT graph_id, l, row_number() OVER (PARTITION BY graph_id ORDER BY l) AS nth FROM (SELECT DISTINCT graph_id, l FROM pairs)),
-best AS (SELECT DISTINCT graph_id, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS total FROM pairs
-  UNION SELECT graph_id, nth, used, max(total) FROM (
-    SELECT b.graph_id, b.nth + 1 AS nth, b.used, b.total FROM best b JOIN lefts USING (graph_id) WHERE lefts.nth = b.nth + 1
-    UNION ALL SELECT b.graph_id, b.nth + 1, b.used | (CAST(1 AS BIGINT) << CAST(p.r AS INT)), b.total + p.weight FROM best b JOIN lefts USING (graph_id) JOIN pairs p ON p.graph_id = b.graph_id AND p.l = lefts.l
-      WHERE lefts.nth = b.nth + 1 AND (b.used & (CAST(1 AS BIGINT) << CAST(p.r AS INT))) = 0) GROUP BY graph_id, nth, used)"""
+@query("p2_uncovered", sql.query(sql.DAY, sql.dfs(), _GIVEN, select="SELECT graph_id, node_id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM given c WHERE c.graph_id = n.graph_id AND (c.src = n.node_id OR c.dst = n.node_id))"))
+def p2_uncovered(spark, sf_dir):
+    """Nodes that a given covering leaves alone."""
+    g, tree = _tree(spark, sf_dir)
+    return cover.uncovered_nodes(g, _given(g, tree))
+
+
+@query("p3_cover_paths", sql.query(sql.DAY, sql.dfs(), _GIVEN, """path AS (SELECT graph_id, node_id, node_id AS head, CAST(0 AS BIGINT) AS position FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM given c WHERE c.graph_id = n.graph_id AND c.dst = n.node_id)
+  UNION ALL SELECT p.graph_id, c.dst, p.head, position + 1 FROM path p JOIN given c ON c.graph_id = p.graph_id AND c.src = p.node_id)""", select="SELECT graph_id, node_id, head, position FROM path"))
+def p3_cover_paths(spark, sf_dir):
+    """The paths of a given covering."""
+    g, tree = _tree(spark, sf_dir)
+    return cover.path_cover_paths(g, _given(g, tree)).withColumn("position", F.col("position").cast("long"))
 
 
-def _pairs(spark, sf_dir):
-    rows = derive.read(spark, sf_dir, "events").select("user_id", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
-    return rows.groupBy((F.col("user_id") % 100).alias("graph_id"), F.col("user_id").alias("l"), (F.col("k") % 6).cast("long").alias("r")).agg(F.count("*").alias("weight"))
+def _pairs(spark, sf_dir, group, left, kinds):
+    rows = derive.read(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+    return rows.groupBy(group.alias("graph_id"), left.cast("long").alias("l"), (F.col("k") % kinds).cast("long").alias("r")).agg(F.count("*").alias("weight"))
 
 
-@query("p5_max_matching", sql.query(_PAIRS, select="SELECT graph_id, max(total) AS total FROM best GROUP BY graph_id"))
+@query("p5_max_matching", sql.query(sql._EV, _best_sql("pairs AS (SELECT user_id % 20 AS graph_id, user_id AS l, k % 10 AS r, count(*) AS weight FROM ev GROUP BY ALL)"), select="SELECT graph_id, max(total) AS total FROM best GROUP BY graph_id"))
 def p5_max_matching(spark, sf_dir):
-    """Total weights of the best matchings of users with kinds; the SQL tries all matchings, as the exhaustive check (p6) does."""
-    return cover.max_matching(_pairs(spark, sf_dir)).groupBy("graph_id").agg(F.sum("weight").alias("total"))
+    """Total weights of the best matchings of users with kinds of events."""
+    pairs = _pairs(spark, sf_dir, F.col("user_id") % 20, F.col("user_id"), 10)
+    return cover.max_matching(pairs).groupBy("graph_id").agg(F.sum("weight").alias("total"))
+
+
+@query("p6_exhaustive_matching", sql.query(sql._EV, _best_sql("pairs AS (SELECT user_id AS graph_id, day(ts) % 5 AS l, k % 4 AS r, count(*) AS weight FROM ev GROUP BY ALL)"), select="SELECT graph_id, max(total) AS total FROM best GROUP BY graph_id"))
+def p6_exhaustive_matching(spark, sf_dir):
+    """The same by trying all matchings, for each user's days and kinds of events."""
+    pairs = _pairs(spark, sf_dir, F.col("user_id"), F.dayofmonth("ts") % 5, 4)
+    return cover.exhaustive_matching(pairs).groupBy("graph_id").agg(F.sum("weight").alias("total"))
 
 
 def _spread_sql(*parts: str) -> str:

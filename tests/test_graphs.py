@@ -111,15 +111,32 @@ def test_random_flow_graphs_against_definitions(spark):
 
 
 def test_matching_is_best():
-    import numpy as np
-
     random.seed(4)
-    for _ in range(100):
-        pairs = {(i, j): random.randint(1, 9) for i in range(random.randint(1, 5)) for j in range(random.randint(1, 5)) if random.random() < 0.6}
-        weights = np.zeros((5, 5))
-        for (i, j), w in pairs.items():
-            weights[i, j] = w
-        assert sum(weights[i, j] for i, j in cover.best_matching(weights)) == cover.exhaustive_weight(pairs)
+    for _ in range(400):
+        pairs = {(i, j): random.randint(-1, 9) for i in range(random.randint(1, 6)) for j in range(random.randint(1, 6)) if random.random() < 0.6}
+        found = cover.best_matching(pairs)
+        assert len({a for a, _ in found}) == len({b for _, b in found}) == len(found) and all(pairs[p] > 0 for p in found)
+        assert sum(pairs[p] for p in found) == cover.exhaustive_weight(pairs)
+        assert sum(pairs[p] for part in cover.components(pairs) for p in cover.best_matching(part)) == cover.exhaustive_weight(pairs)
+
+
+def test_matchings_of_groups(spark):
+    random.seed(5)
+    rows = [(g, i, j, random.randint(1, 1000)) for g in range(12) for i in range(4 + 10 * (g % 2)) for j in range(3 + 9 * (g % 3 == 0)) if random.random() < 0.5]
+    rows += [(100, 1, 2, 2**60 + 1), (100, 1, 3, 2**60), (100, 1, 2, 5), (101, 1, 1, 0)]
+    pairs = spark.createDataFrame(rows, "graph_id long, l long, r long, weight long")
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = {}
+        for _, i, j, w in (r for r in rows if r[0] == g and r[3] > 0):
+            own[i, j] = max(w, own.get((i, j), 0))
+        if own:
+            want[g] = sum(own[p] for p in cover.best_matching(own))
+    for run in (cover.max_matching, lambda p: cover.exhaustive_matching(p.where("graph_id % 6 <> 3 and graph_id % 6 <> 0"))):
+        for r in run(pairs).groupBy("graph_id").sum("weight").collect():
+            assert want[r[0]] == r[1]
+    assert cover.max_matching(pairs).groupBy("graph_id").sum("weight").count() == len(want)
+    assert cover.max_matching(pairs.where("false")).count() == 0
 
 
 def test_data_flow(spark):
