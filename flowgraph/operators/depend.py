@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgraph.operators.fixpoint import closure, cut
+from flowgraph.operators.regions import forest_tree
 
 
 def flatten_loops(loops: DataFrame) -> DataFrame:
@@ -91,3 +92,31 @@ def next_point(points: DataFrame, loops: DataFrame) -> DataFrame:
     ahead = F.col("point") + F.col("step")
     inside = F.when(F.col("step") > 0, ahead <= F.col("upper")).otherwise(ahead >= F.col("upper"))
     return points.join(loops.select("loop_id", "upper", "step"), "loop_id").select("loop_id", "point", F.when(inside, ahead).alias("next"))
+
+
+def nest_points(loops: DataFrame) -> DataFrame:
+    """(loop_id, point): for each loop of a nest the values of all variables around it and its own, the outermost first.
+
+    loops: loop_id, parent_loop (null for the outermost), lower, upper, step. A round for each level of the deepest nest.
+    """
+    own = iteration_points(loops).join(loops.select("loop_id", "parent_loop"), "loop_id")
+    now = cut(own.where("parent_loop is null").select("loop_id", F.array("point").alias("point")))
+    inner = cut(own.where("parent_loop is not null").select("loop_id", F.col("parent_loop").alias("__outer"), F.col("point").alias("__value")))
+    found = now
+    while True:
+        now = cut(now.withColumnRenamed("loop_id", "__outer").join(inner, "__outer").select("loop_id", F.concat("point", F.array("__value")).alias("point")))
+        if now.isEmpty():
+            return found
+        found = found.union(now)
+
+
+def nest_next_point(points: DataFrame, loops: DataFrame, level: int) -> DataFrame:
+    """points with next: one step on along the variable at `level` (0: the outermost), null behind its bound or without such a variable."""
+    up = loops.select(F.col("loop_id").alias("node_id"), F.col("parent_loop").alias("parent"), F.lit(0).cast("long").alias("graph_id"))
+    path = F.split("path", "/").cast("array<long>")
+    at = forest_tree(up).select(F.col("node_id").alias("loop_id"), F.get(path, F.lit(level)).alias("__at"))
+    bounds = loops.select(F.col("loop_id").alias("__at"), "upper", "step")
+    ahead = F.get("point", F.lit(level)) + F.col("step")
+    inside = F.when(F.col("step") > 0, ahead <= F.col("upper")).otherwise(ahead >= F.col("upper"))
+    moved = F.transform("point", lambda x, i: F.when(i == level, ahead).otherwise(x))
+    return points.join(at, "loop_id", "left").join(bounds, "__at", "left").select("loop_id", "point", F.when(inside, moved).alias("next"))

@@ -93,6 +93,39 @@ def idom(tree: DataFrame) -> DataFrame:
     return tree.select(*NODE, "idom")
 
 
+def breadth_first(g: Graph, max_rounds: int = 100_000) -> DataFrame:
+    """(graph_id, node_id, parent, depth): a tree of fewest edges from the start; the parent is the least node one step nearer."""
+    edges = cut(g.edges.select("graph_id", "src", "dst").where("src <> dst").distinct())
+    new = found = cut(g.starts.select("graph_id", F.col("start").alias("node_id"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth")))
+    for depth in range(1, max_rounds):
+        ahead = new.select("graph_id", F.col("node_id").alias("src")).join(edges, ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.min("src").alias("parent"))
+        new = cut(ahead.join(found.select(*NODE), NODE, "left_anti").withColumn("depth", F.lit(depth)))
+        if new.isEmpty():
+            return found
+        found = found.union(new)
+        if depth % 10 == 0:
+            found = cut(found)
+    raise RuntimeError(f"no end in {max_rounds} rounds")
+
+
+def idom_by_joins(g: Graph) -> DataFrame:
+    """(graph_id, node_id, idom) of the reached nodes, null for the start; by joins alone, for graphs of any size.
+
+    What dominates a node is among its ancestors in the breadth-first tree. An ancestor goes if it is none of some
+    predecessor, or has gone there; what is left dominates. Rows are the sum of the nodes' depths in that tree.
+    """
+    tree = breadth_first(g)
+    above = cut(ancestors(tree.select(*NODE, "parent")))
+    edges = cut(g.edges.select("graph_id", "src", F.col("dst").alias("node_id")).where("src <> node_id").distinct().join(tree.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_semi"))
+    strict = above.where("distance > 0").select("graph_id", "top", "node_id")
+    at = above.select("graph_id", "top", F.col("node_id").alias("src"))
+    first = strict.join(edges, NODE).join(at, ["graph_id", "top", "src"], "left_anti").select("graph_id", "top", "node_id")
+    gone = closure(first, lambda new: new.withColumnRenamed("node_id", "src").join(edges, ["graph_id", "src"]).join(strict, ["graph_id", "top", "node_id"], "left_semi").select("graph_id", "top", "node_id"))
+    left = above.where("distance > 0").join(gone, ["graph_id", "top", "node_id"], "left_anti")
+    nearest = left.groupBy(*NODE).agg(F.min_by("top", "distance").alias("idom"))
+    return tree.select(*NODE).join(nearest, NODE, "left")
+
+
 def ancestors(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(graph_id, top, node_id, distance): every node with each of its ancestors, itself at distance 0, of a parent table.
 

@@ -171,6 +171,26 @@ def e5_iteration_points(spark, sf_dir):
     return depend.next_point(depend.iteration_points(loops), loops)
 
 
+def _nest(spark, sf_dir):
+    """A nest of two loops for each order: by its lines' numbers, and inside by twos from the number of lines down."""
+    lines = derive.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("o")).agg(F.min("l_linenumber").cast("long").alias("a"), F.max("l_linenumber").cast("long").alias("b"), F.count("*").alias("n"))
+    none, long = F.lit(None).cast("long"), lambda x: F.lit(x).cast("long")
+    outer = lines.select((F.col("o") * 2).alias("loop_id"), none.alias("parent_loop"), F.col("a").alias("lower"), F.col("b").alias("upper"), long(1).alias("step"))
+    return outer.union(lines.select(F.col("o") * 2 + 1, F.col("o") * 2, "n", long(0), long(-2)))
+
+
+@query("e5_nest_points", sql.query("b AS (SELECT CAST(l_orderkey AS BIGINT) AS o, CAST(min(l_linenumber) AS BIGINT) AS a, CAST(max(l_linenumber) AS BIGINT) AS b, count(*) AS n FROM lineitem GROUP BY ALL)",
+    "outer_ AS (SELECT o, n, b, unnest(range(a, b + 1)) AS x FROM b)", "inner_ AS (SELECT o, b, x, unnest(range(n, -1, -2)) AS y FROM outer_)",
+    select="""SELECT o * 2 AS loop_id, CAST(x AS VARCHAR) AS point, CASE WHEN x + 1 <= b THEN CAST(x + 1 AS VARCHAR) END AS outer_next, CAST(NULL AS VARCHAR) AS inner_next FROM outer_
+UNION ALL SELECT o * 2 + 1, x || ',' || y, CASE WHEN x + 1 <= b THEN (x + 1) || ',' || y END, CASE WHEN y - 2 >= 0 THEN x || ',' || (y - 2) END FROM inner_"""))
+def e5_nest_points(spark, sf_dir):
+    """Points of all loops of the nests, and the next ones along either variable."""
+    loops = _nest(spark, sf_dir)
+    points = depend.nest_points(loops)
+    rows = depend.nest_next_point(points, loops, 0).withColumnRenamed("next", "outer_next").join(depend.nest_next_point(points, loops, 1).withColumnRenamed("next", "inner_next"), ["loop_id", "point"])
+    return rows.select("loop_id", *(F.array_join(c, ",").alias(c) for c in ("point", "outer_next", "inner_next")))
+
+
 def _regions(spark, sf_dir):
     """The world, its regions and their nations."""
     r, n = derive.read(spark, sf_dir, "region"), derive.read(spark, sf_dir, "nation")

@@ -322,3 +322,50 @@ def v3_dot_sorts(spark, sf_dir):
     """With edges coloured by their class."""
     g = derive.day_graph(spark, sf_dir)
     return dot.to_dot(g, edge_attrs=dot.style_sorts(dfs.edge_sorts(g, dfs.dfst(g))))
+
+
+def _lines_sql(nodes: str, edges: str, frames: str | None = None) -> str:
+    """DOT text from nodes(graph_id, path, node_id, info), edges(graph_id, edge_id, src, dst, attrs) and frames(graph_id, path): lines in order."""
+    parts = [f"""SELECT graph_id, list_append(path, {1 << 61} - node_id) AS place, 'n' || node_id || ' [label="' || info || '"];' AS line FROM ({nodes})""",
+        f"""SELECT graph_id, [{(1 << 62) + (1 << 61)}, -edge_id], 'n' || src || ' -> n' || dst || ' [label=""' || attrs || '];' FROM ({edges})"""]
+    if frames:
+        parts += [f"SELECT graph_id, path, 'subgraph cluster_' || path[-1] || ' {{' FROM ({frames})", f"SELECT graph_id, list_append(path, {(1 << 63) - 1}), '}}' FROM ({frames})"]
+    return f"""SELECT graph_id, 'digraph g' || graph_id || ' {{' || chr(10) || string_agg(line, chr(10) ORDER BY place) || chr(10) || '}}' || chr(10) AS dot FROM ({' UNION ALL '.join(parts)}) GROUP BY graph_id"""
+
+
+_PLAIN_EDGES, _NO_PATH = "SELECT graph_id, edge_id, src, dst, '' AS attrs FROM edges", "CAST([] AS BIGINT[])"
+
+
+@query("v2_dot_nested", sql.query(sql.DAY, sql.dfs(), _LOOPS, "heads AS (SELECT DISTINCT graph_id, header AS node_id FROM loop WHERE header IS NOT NULL)",
+    """frames AS (SELECT graph_id, node_id AS cluster, [node_id] AS path FROM loop JOIN heads USING (graph_id, node_id) WHERE header IS NULL
+  UNION ALL SELECT l.graph_id, l.node_id, list_append(f.path, l.node_id) FROM frames f JOIN loop l ON l.graph_id = f.graph_id AND l.header = f.cluster JOIN heads h ON h.graph_id = l.graph_id AND h.node_id = l.node_id)""",
+    select=_lines_sql(f"SELECT n.graph_id, coalesce(f.path, {_NO_PATH}) AS path, n.node_id, info FROM nodes n LEFT JOIN loop l USING (graph_id, node_id) LEFT JOIN heads h USING (graph_id, node_id) LEFT JOIN frames f ON f.graph_id = n.graph_id AND f.cluster = CASE WHEN h.node_id IS NULL THEN l.header ELSE l.node_id END", _PLAIN_EDGES, "SELECT graph_id, path FROM frames")))
+def v2_dot_nested(spark, sf_dir):
+    """With a cluster for each loop, inside those of the loops around it."""
+    g, tree = _tree(spark, sf_dir)
+    clusters, parents = dot.loop_clusters(dfs.cut(regions.loop_forest(g, tree)))
+    return dot.to_dot(g, clusters=clusters, cluster_tree=parents)
+
+
+@query("v3_dot_alts", sql.query(sql.DAY, sql.DOM, "sizes AS (SELECT graph_id, dominator, count(*) AS n FROM dom GROUP BY ALL)",
+    "paths AS (SELECT dom.graph_id, dom.node_id, list(dom.dominator ORDER BY d.depth) AS path FROM dom JOIN sizes s ON s.graph_id = dom.graph_id AND s.dominator = dom.dominator AND s.n > 1 JOIN depth d ON d.graph_id = dom.graph_id AND d.node_id = dom.dominator GROUP BY ALL)",
+    select=_lines_sql(f"SELECT graph_id, coalesce(path, {_NO_PATH}) AS path, node_id, info FROM nodes LEFT JOIN paths USING (graph_id, node_id)", _PLAIN_EDGES, "SELECT graph_id, path FROM paths WHERE path[-1] = node_id")))
+def v3_dot_alts(spark, sf_dir):
+    """With a cluster for each maximal alternative region."""
+    g, tree = _tree(spark, sf_dir)
+    clusters, parents = dot.alt_clusters(tree)
+    return dot.to_dot(g, clusters=clusters, cluster_tree=parents)
+
+
+@query("v3_dot_dominance", sql.query(sql.USER_DROP, sql.DOM, select=_lines_sql(f"SELECT graph_id, {_NO_PATH} AS path, node_id, info FROM nodes JOIN reach USING (graph_id, node_id)", "SELECT graph_id, node_id AS edge_id, idom AS src, node_id AS dst, '' AS attrs FROM idom WHERE idom IS NOT NULL")))
+def v3_dot_dominance(spark, sf_dir):
+    """The dominator trees."""
+    g = derive.user_drop_graph(spark, sf_dir)
+    return dot.to_dot(dot.dominance_graph(g, dfs.cut(dfs.dfst(g))))
+
+
+@query("v3_dot_cover", sql.query(sql.DAY, sql.dfs(), _GIVEN, select=_lines_sql(f"SELECT graph_id, {_NO_PATH} AS path, node_id, info FROM nodes", "SELECT e.graph_id, e.edge_id, e.src, e.dst, CASE WHEN c.edge_id IS NULL THEN '' ELSE ', color=magenta' END AS attrs FROM edges e LEFT JOIN given c ON c.graph_id = e.graph_id AND c.edge_id = e.edge_id")))
+def v3_dot_cover(spark, sf_dir):
+    """With the edges of a given covering coloured."""
+    g, tree = _tree(spark, sf_dir)
+    return dot.to_dot(g, edge_attrs=dot.style_edges(_given(g, tree)))

@@ -18,6 +18,8 @@ def build(spark, names, edges, start, graph_id=0):
 
 
 T2 = (["start", *"abcdefghijklm"], "start-a a-b a-l b-c b-e c-d e-f f-e f-c d-g f-g g-h g-i i-h i-k k-j j-i l-k j-l h-m", "start")
+T3 = (["0", "1", "2", "3", "3'", "4", "4'", "5", "6", "6'", "7", "7'", "8", "8'", "9", "9'"], "0-2 2-5 2-6 5-7 5-6 5-5 2-7 6-6' 7-7' 6'-8 8-8' 8'-8 6'-3 8'-3 3-3' 7'-4 7'-9 4-4' 9-9' 9'-9 9'-4 3'-1 4'-1", "0")
+T9 = (list("012345"), "0-1 1-2 2-3 1-4 4-1 4-5", "0")
 T8 = (list("01234567"), "0-1 1-2 2-3 3-4 1-7 7-1 2-6 6-2 3-5 5-3", "0")
 T10 = (list("abcdefghijk"), "a-b b-c c-d d-e e-f f-k c-e e-c d-c b-g g-h h-i i-j j-k i-h j-g", "a")
 T12 = (list("1234567"), "1-2 2-3 3-4 4-2 4-3 1-5 5-6 6-5 7-6 4-7", "1")
@@ -44,6 +46,31 @@ def test_depth_first_and_dominators(spark):
     assert cover.path_cover_edges(g).count() == 12
 
 
+def test_published_numbers_of_the_second_graph(spark):
+    names, g = T3[0], build(spark, *T3)
+    rows = dfs.dfst(g).collect()
+    assert [by_name(names, rows, "pre")[n] for n in names] == [0, 8, 1, 11, 12, 6, 7, 15, 9, 10, 2, 3, 13, 14, 4, 5]
+    assert [by_name(names, rows, "rpo")[n] for n in names] == [0, 15, 1, 7, 8, 13, 14, 2, 3, 4, 9, 10, 5, 6, 11, 12]
+    want = [None, "2", "0", "6'", "3", "7'", "4", "2", "2", "6", "2", "7", "6'", "8", "7'", "9"]
+    for found in (rows, dfs.idom_by_joins(g).collect()):
+        assert [names[i] if (i := by_name(names, found, "idom")[n]) is not None else None for n in names] == want
+    sorts = {r.edge_id: r.sort for r in dfs.edge_sorts(g, dfs.dfst(g)).collect()}
+    named = dict(zip(T3[1].split(), (sorts[i] for i in range(23))))
+    assert {e for e, s in named.items() if s == "back"} == {"9'-9", "8'-8", "5-5"}
+    assert {e for e, s in named.items() if s == "forward"} == {"7'-4"}
+    assert {e for e, s in named.items() if s == "cross"} == {"3'-1", "8'-3", "5-6", "5-7"}
+    covered = cover.path_cover_edges(g)
+    assert covered.count() == 14 and cover.path_cover_paths(g, covered).select("head").distinct().count() == 2
+
+
+def test_two_exits_make_no_exit_of_a_hammock(spark):
+    g = build(spark, *T9)
+    found = {(r["first"], r["last"], r["exit"]) for r in regions.hammocks(g, regions.hammock_orders(g)).collect()}
+    order = {r.node_id: r.k for r in regions.hammock_orders(g).collect()}
+    assert order == {0: 0, 1: 1, 4: 2, 5: order[5], 2: order[2], 3: order[3]}
+    assert (1, 2, order[2]) not in found and (0, 0, 1) in found and (1, 5, -1) in found
+
+
 def test_hammocks(spark):
     g = build(spark, *T8)
     order = regions.hammock_orders(g)
@@ -100,6 +127,7 @@ def test_random_flow_graphs_against_definitions(spark):
         assert counts[i] == n
         expected = {(i, d, x) for d in range(n) for x in range(n) if x not in reached(edges[i], d)}
         assert {p for p in pairs if p[0] == i} == expected
+    assert {(r.graph_id, r.node_id): r.idom for r in dfs.idom_by_joins(g).collect()} == idom
     breakers = {(r.graph_id, r.edge_id) for r in dfs.cycle_breakers(g).collect()}
     left = g.edges.collect()
     for i in range(30):
@@ -155,6 +183,43 @@ def test_data_flow(spark):
     assert dataflow.live_vars(g, empty).count() == 0
 
 
+def test_published_data_flow(spark):
+    g = build(spark, ["n1", "n0"], "n1-n0", "n1")
+    stmts = spark.createDataFrame([(0, 0, 1, 0, ["d"], ["e", "f"]), (0, 1, 0, 0, ["a"], ["b", "c"])], "graph_id long, node_id long, stmt_id long, pos int, writes array<string>, reads array<string>")
+    assert {r["var"] for r in dataflow.on_edges(g, dataflow.live_vars(g, stmts), "backward").collect()} == {"b", "c"}
+    assert {r.stmt_id for r in dataflow.on_edges(g, dataflow.reaching_defs(g, stmts), "forward").collect()} == {1}
+
+
+def test_published_dependence(spark):
+    refs = spark.createDataFrame([(0, 0, 0, "w", "a", 0, {"i1": 1}), (0, 0, 1, "r", "b", 0, {"i1": 1})], "loop_id long, stmt_id long, ref_id long, kind string, array string, free long, coeffs map<string, long>")
+    assert depend.dependence_graph(refs).count() == 0
+    loops = spark.createDataFrame([(0, None, 0, 10, 1)], "loop_id long, parent_loop long, lower long, upper long, step long")
+    assert depend.iteration_points(loops).count() == depend.nest_points(loops).count() == 11
+
+
+def test_points_of_nests(spark):
+    rows = [(1, None, 0, 2, 1), (2, 1, 5, 1, -2), (3, 2, 7, 7, 1), (4, 1, 3, 2, 1), (5, None, 0, 0, 0)]
+    loops = spark.createDataFrame(rows, "loop_id long, parent_loop long, lower long, upper long, step long")
+    points = depend.nest_points(loops)
+    got = {}
+    for r in points.collect():
+        got.setdefault(r.loop_id, set()).add(tuple(r.point))
+    assert got == {1: {(0,), (1,), (2,)}, 2: {(x, y) for x in range(3) for y in (5, 3, 1)}, 3: {(x, y, 7) for x in range(3) for y in (5, 3, 1)}}
+    after = lambda level: {(r.loop_id, tuple(r.point)): r.next for r in depend.nest_next_point(points, loops, level).collect()}
+    assert after(1)[3, (0, 3, 7)] == [0, 1, 7] and after(1)[3, (0, 1, 7)] is None and after(0)[2, (1, 5)] == [2, 5] and after(2)[2, (1, 5)] is None
+
+
+def test_nested_clusters(spark):
+    g = build(spark, list("abcd"), "a-b b-c c-b", "a")
+    clusters = spark.createDataFrame([(0, 1, 7), (0, 2, 9), (0, 3, None)], "graph_id long, node_id long, cluster long")
+    tree = spark.createDataFrame([(0, 7, None), (0, 9, 7), (0, 8, 7)], "graph_id long, cluster long, parent long")
+    assert dot.to_dot(g, clusters=clusters, cluster_tree=tree).first().dot.split("\n")[1:-2] == [
+        "subgraph cluster_7 {", "subgraph cluster_8 {", "}", "subgraph cluster_9 {", 'n2 [label="c"];', "}", 'n1 [label="b"];', "}", 'n3 [label="d"];', 'n0 [label="a"];',
+        'n2 -> n1 [label=""];', 'n1 -> n2 [label=""];', 'n0 -> n1 [label=""];']
+    loops, parents = dot.loop_clusters(regions.loop_forest(g, dfs.dfst(g)))
+    assert {(r.node_id, r.cluster) for r in loops.collect()} == {(0, None), (1, 1), (2, 1)} and [tuple(r) for r in parents.collect()] == [(0, 1, None)]
+
+
 def test_clean_up(spark):
     g = build(spark, list("sabcx"), "s-a a-b b-c", "s")
     assert {(r.node_id, r["head"], r.position) for r in simplify.straight_lines(g).collect()} == {(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 4, 0)}
