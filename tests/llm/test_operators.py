@@ -198,7 +198,7 @@ def test_seating_is_a_distribution():
         assert p[2::3].sum() + rest == pytest.approx(1)
         seating.sweep()
     c = trains[2::3]
-    assert (seating.t_leaf <= c).all() and (seating.t_leaf >= (c > 0)).all() and (seating.t_mid <= seating.customers()).all()
+    assert (seating.t_leaf <= c).all() and (seating.t_leaf >= (c > 0)).all() and (seating.t_mid <= seating.customers()).all() and (seating.t_root <= seating.root_c).all()
 
 
 def test_token_counts_are_the_best_segmentation(spark):
