@@ -171,8 +171,8 @@ def test_equal_languages_go_to_the_first_and_each_language_has_its_share(spark):
     docs = spark.createDataFrame([(1, "same words", "bb"), (2, "same words", "aa"), (3, "other things here now", "cc")], "doc_id long, text string, lang string")
     model = langid.train(docs)
     told = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
-    assert told[1][0] == told[2][0] == "aa" and told[1][1] == pytest.approx(0.5, abs=0.1)
-    many = [(i, " ".join(f"{chr(97 + j // 26)}{chr(97 + j % 26)}aa" for j in range(200)) * 1, "big") for i in range(20)] + [(50 + i, "rareword rareword", "tiny") for i in range(2)]
+    assert told[1][0] == told[2][0] == "aa" and told[1][1] == told[2][1] <= 0.5
+    many = [(i, " ".join(f"{chr(97 + j // 26)}{chr(97 + j % 26)}aa" for j in range(200)), "big") for i in range(20)] + [(50 + i, "rareword rareword", "tiny") for i in range(2)]
     model = langid.train(spark.createDataFrame(many, "doc_id long, text string, lang string"), max_words=20)
     known = {int(k) for k in model.word_keys}
     points = np.array([ord(c) for c in "rareword"], dtype=np.uint32)
