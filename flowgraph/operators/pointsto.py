@@ -2,7 +2,8 @@
 
 A set of values is rows with a `value`: a block id, UNDEF for "can be undefined", or ANY for "can be anything".
 A state has rows (graph_id, point, block_id, value); a row with block_id ANY says that nothing is known any more.
-Blocks: block_id, region_id, kind (simple, compound or pseudo), alloc (static or dynamic), parent_block, pos.
+Blocks: graph_id, block_id, region_id, kind (simple, compound or pseudo), alloc (static or dynamic), parent_block, pos;
+a graph sees its own blocks only, so "anything" is as much as one graph has.
 """
 
 from __future__ import annotations
@@ -50,44 +51,52 @@ def block_relation(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     return out.select("a", "b", F.when(F.col("a") == F.col("b"), "same").otherwise(F.coalesce("__in", "__out", F.lit("different"))).alias("relation"))
 
 
-def eval_expr(asked: DataFrame, exprs: DataFrame, state: DataFrame, blocks: DataFrame, inside: DataFrame) -> DataFrame:
+def expr_parts(exprs: DataFrame) -> DataFrame:
+    """(expr_id, part): each expression with itself and all expressions inside it."""
+    args = cut(exprs.select(F.col("expr_id").alias("part"), F.explode(F.array_compact(F.array("arg1", "arg2"))).alias("__arg")))
+    return closure(exprs.select("expr_id", F.col("expr_id").alias("part")), lambda new: new.join(args, "part").select("expr_id", F.col("__arg").alias("part")))
+
+
+def eval_expr(asked: DataFrame, exprs: DataFrame, state: DataFrame, blocks: DataFrame, inside: DataFrame, parts_of: DataFrame | None = None) -> DataFrame:
     """(graph_id, point, expr_id, value) of the asked expressions (graph_id, point, expr_id) in a state.
 
     exprs: expr_id, level, op, arg1, arg2, block_id, region_id, field; arguments have lower levels. op: block; some (all
     blocks of a region and those inside it); sub (the part at `field` of the blocks that arg1 gives; a pseudo block is
     its own part); value (what they hold); region (all blocks of the regions of arg1's blocks and inside them); oneof;
-    undef; any. inside: (super, sub) of subregions.
+    undef; any. inside: (super, sub) of subregions. parts_of: expr_parts, where they are known already.
     """
-    need = closure(asked.select(*POINT, "expr_id"), lambda new: new.join(exprs.select("expr_id", F.explode(F.array_compact(F.array("arg1", "arg2"))).alias("__arg")), "expr_id").select(*POINT, F.col("__arg").alias("expr_id")))
-    need = cut(need.join(exprs, "expr_id"))
+    need = asked.select(*POINT, "expr_id").join(parts_of if parts_of is not None else expr_parts(exprs), "expr_id")
+    need = cut(need.select(*POINT, F.col("part").alias("expr_id")).distinct().join(exprs, "expr_id"))
     lost = cut(state.where(F.col("block_id") == ANY).select(*POINT).distinct().withColumn("__lost", F.lit(True)))
     holds = state.where(F.col("block_id") != ANY).select(*POINT, F.col("block_id").alias("value"), F.col("value").alias("__held"))
-    members = inside.join(blocks.select(F.col("region_id").alias("sub"), "block_id"), "sub").select("super", "block_id")
-    block = blocks.select(F.col("block_id").alias("value"), "kind", F.col("region_id").alias("__region"))
-    parts = blocks.where("parent_block is not null").select(F.col("parent_block").alias("value"), F.col("pos").alias("field"), F.col("block_id").alias("__part"))
+    members = inside.join(blocks.select("graph_id", F.col("region_id").alias("sub"), "block_id"), "sub").select("graph_id", "super", "block_id")
+    block = blocks.select("graph_id", F.col("block_id").alias("value"), "kind", F.col("region_id").alias("__region"))
+    parts = blocks.where("parent_block is not null").select("graph_id", F.col("parent_block").alias("value"), F.col("pos").alias("field"), F.col("block_id").alias("__part"))
     done = None
     for level in [r[0] for r in need.select("level").distinct().orderBy("level").collect()]:  # the depth of the expressions
         now = need.where(F.col("level") == level).drop("level", "value")
         key = [*POINT, "expr_id"]
         plain = now.where("op in ('block', 'undef', 'any')").select(*key, F.when(F.col("op") == "block", F.col("block_id")).when(F.col("op") == "undef", _lit(UNDEF)).otherwise(_lit(ANY)).alias("value"))
-        some = now.where("op = 'some'").join(members.withColumnRenamed("block_id", "value"), F.col("region_id") == F.col("super")).select(*key, "value")
+        some = now.where("op = 'some'").withColumn("super", F.col("region_id")).join(members.withColumnRenamed("block_id", "value"), ["graph_id", "super"]).select(*key, "value")
         out = plain.union(some)
         if done is not None:
             first = now.drop("block_id").join(done.select(*POINT, F.col("expr_id").alias("arg1"), "value"), [*POINT, "arg1"])
             second = now.where("op = 'oneof'").join(done.select(*POINT, F.col("expr_id").alias("arg2"), "value"), [*POINT, "arg2"])
             out = out.union(first.where("op = 'oneof'").select(*key, "value")).union(second.select(*key, "value"))
-            every = blocks.select(F.col("block_id").alias("__every"))
-            open_ = first.where(F.col("value") == ANY).drop("value").withColumn("__one", F.lit(1)).join(every.withColumn("__one", F.lit(1)), "__one").drop("__one")
-            spread = first.where(F.col("value") >= 0).union(open_.where("op in ('sub', 'value')").withColumnRenamed("__every", "value").select(first.columns)).join(block, "value")
-            out = out.union(spread.where("op = 'sub' and kind <> 'pseudo'").join(parts, ["value", "field"]).select(*key, F.col("__part").alias("value")))
+            every = first.where(F.col("value") == ANY)
+            spread = first.where(F.col("value") >= 0).join(block, ["graph_id", "value"])
+            out = out.union(spread.where("op = 'sub' and kind <> 'pseudo'").join(parts, ["graph_id", "value", "field"]).select(*key, F.col("__part").alias("value")))
+            out = out.union(every.where("op = 'sub'").drop("value").join(parts.drop("value"), ["graph_id", "field"]).select(*key, F.col("__part").alias("value")))
             out = out.union(spread.where("op = 'sub' and kind = 'pseudo'").select(*key, "value"))
+            out = out.union(every.where("op = 'sub'").drop("value").join(block.where("kind = 'pseudo'").select("graph_id", "value"), "graph_id").select(*key, "value"))
             reads = spread.where("op = 'value' and kind <> 'compound'")
             out = out.union(reads.join(holds, [*POINT, "value"]).select(*key, F.col("__held").alias("value")))
-            out = out.union(reads.join(lost, POINT).select(*key, _lit(ANY).alias("value")))
-            out = out.union(spread.where("op = 'region'").join(members, F.col("__region") == F.col("super")).select(*key, F.col("block_id").alias("value")))
+            out = out.union(every.where("op = 'value'").drop("value").join(holds.drop("value"), POINT).select(*key, F.col("__held").alias("value")))
+            out = out.union(reads.select(*key).union(every.where("op = 'value'").select(*key)).join(lost, POINT).select(*key, _lit(ANY).alias("value")))
+            out = out.union(spread.where("op = 'region'").withColumn("super", F.col("__region")).join(members, ["graph_id", "super"]).select(*key, F.col("block_id").alias("value")))
             out = out.union(first.where((F.col("value") == UNDEF) & F.col("op").isin("sub", "value")).select(*key, "value"))
-            out = out.union(first.where((F.col("value") == ANY) & (F.col("op") == "sub")).select(*key, _lit(UNDEF).alias("value")))
-            out = out.union(first.where((F.col("value") == ANY) & (F.col("op") == "region")).select(*key, "value"))
+            out = out.union(every.where("op = 'sub'").select(*key, _lit(UNDEF).alias("value")))
+            out = out.union(every.where("op = 'region'").select(*key, "value"))
         out = cut(out.distinct())
         done = out if done is None else done.union(out)
     if done is None:
@@ -103,9 +112,9 @@ def assign_effect(state: DataFrame, targets: DataFrame, values: DataFrame, block
     known any more. Without a target the state stays.
     """
     wide = targets.where(F.col("value") == ANY).select(*POINT).distinct()
-    all_blocks = blocks.where("kind <> 'compound'").select("block_id", "alloc").withColumn("__one", F.lit(1))
-    hit = targets.where(F.col("value") >= 0).withColumnRenamed("value", "block_id").join(blocks.where("kind <> 'compound'").select("block_id", "alloc"), "block_id").join(wide, POINT, "left_anti").distinct()
-    hit = hit.select(*POINT, "block_id", "alloc").union(wide.withColumn("__one", F.lit(1)).join(all_blocks, "__one").select(*POINT, "block_id", "alloc"))
+    open_blocks = blocks.where("kind <> 'compound'").select("graph_id", "block_id", "alloc")
+    hit = targets.where(F.col("value") >= 0).withColumnRenamed("value", "block_id").join(open_blocks, ["graph_id", "block_id"]).join(wide, POINT, "left_anti").distinct()
+    hit = hit.select(*POINT, "block_id", "alloc").union(wide.join(open_blocks, "graph_id").select(*POINT, "block_id", "alloc"))
     one = hit.groupBy(*POINT).agg(F.count("*").alias("n"), F.max("alloc").alias("a"), F.first("block_id").alias("block_id")).where("n = 1 and a = 'static'").join(wide, POINT, "left_anti")
     lost = wide.join(values.where(F.col("value") == ANY).select(*POINT), POINT, "left_semi")
     kept = state.join(one.select(*POINT, "block_id"), [*POINT, "block_id"], "left_anti")
@@ -118,9 +127,16 @@ def assign_effect(state: DataFrame, targets: DataFrame, values: DataFrame, block
 def black_effect(state: DataFrame, seeds: DataFrame, blocks: DataFrame) -> DataFrame:
     """The states behind calls of unknown code that gets seeds (graph_id, point, value): all that the seeds lead to may point to all of it."""
     lost = cut(seeds.where(F.col("value") == ANY).select(*POINT).union(state.where(F.col("block_id") == ANY).select(*POINT)).distinct())
-    held = cut(state.select(*POINT, "block_id", F.col("value").alias("__next")).union(seeds.select(*POINT).distinct().join(lost, POINT, "left_anti").withColumn("__one", F.lit(1)).join(blocks.where("parent_block is not null").select(F.col("parent_block").alias("block_id"), F.col("block_id").alias("__next")).withColumn("__one", F.lit(1)), "__one").drop("__one")))
+    held = cut(state.select(*POINT, "block_id", F.col("value").alias("__next")))
+    parts = cut(blocks.where("parent_block is not null").select("graph_id", F.col("parent_block").alias("block_id"), F.col("block_id").alias("__next")))
     start = seeds.join(lost, POINT, "left_anti").select(*POINT, "value")
-    reach = closure(start, lambda new: new.withColumnRenamed("value", "block_id").join(held, [*POINT, "block_id"]).select(*POINT, F.col("__next").alias("value")))
+
+    def step(new: DataFrame) -> DataFrame:
+        own = new.withColumnRenamed("value", "block_id")
+        ahead = own.join(held, [*POINT, "block_id"]).select(*POINT, "__next").union(own.join(parts, ["graph_id", "block_id"]).select(*POINT, "__next"))
+        return ahead.withColumnRenamed("__next", "value")
+
+    reach = closure(start, step)
     new = reach.where(F.col("value") >= 0).withColumnRenamed("value", "block_id").join(reach, POINT).select(*POINT, "block_id", "value")
     known = state.select(*POINT, "block_id", "value").union(new).distinct().join(lost, POINT, "left_anti")
     return known.union(lost.select(*POINT, _lit(ANY), _lit(ANY)))
@@ -166,32 +182,40 @@ def points_to(g: Graph, stmts: DataFrame, exprs: DataFrame, blocks: DataFrame, i
     """(graph_id, point, block_id, value): what each block may hold behind each point, for assignments and calls of any kind.
 
     stmts: graph_id, node_id, stmt_id, pos, kind (assign or black), lhs, rhs, regions, args (expression and region ids).
-    Before the start all simple and pseudo blocks are undefined. Targets depend on the state itself, so every round
-    evaluates all points from the last round's states, until none changes; points that the start does not reach have none.
+    Before the start all simple and pseudo blocks of the graph are undefined. Targets depend on the state itself, so a
+    round evaluates anew the points behind those whose states the last round changed, until none changes; points that
+    the start does not reach have none.
     """
     points, steps = program_points(g, stmts.select("graph_id", "node_id", "stmt_id", "pos"))
-    begin = g.starts.withColumn("__one", F.lit(1)).join(blocks.where("kind <> 'compound'").select("block_id").withColumn("__one", F.lit(1)), "__one")
+    steps = cut(steps)
+    begin = g.starts.join(blocks.where("kind <> 'compound'").select("graph_id", "block_id"), "graph_id")
     begin = cut(begin.select("graph_id", (_lit(-10) - F.col("start")).alias("point"), "block_id", _lit(UNDEF).alias("value")))
-    own = stmts.withColumnRenamed("stmt_id", "point")
-    after = begin
+    own, parts_of = cut(stmts.withColumnRenamed("stmt_id", "point")), expr_parts(exprs)
+    after, asked = begin.where("false"), cut(begin.select(*POINT).distinct())
     for _ in range(max_rounds):
-        before = cut(after.withColumnRenamed("point", "src").join(steps, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("point"), "block_id", "value").union(begin).distinct())
-        live = before.select(*POINT).distinct()
-        here = cut(own.join(live, POINT, "left_semi"))
+        into = steps.withColumnRenamed("dst", "point").join(asked, POINT, "left_semi")
+        before = after.withColumnRenamed("point", "src").join(into, ["graph_id", "src"]).select(*POINT, "block_id", "value")
+        before = cut(before.union(begin.join(asked, POINT, "left_semi")).distinct())
+        here = cut(own.join(before.select(*POINT).distinct(), POINT, "left_semi"))
         ids = here.select(*POINT, F.explode(F.array_compact(F.array_union(F.array("lhs", "rhs"), F.coalesce("args", F.array().cast("array<bigint>"))))).alias("expr_id"))
-        got = cut(eval_expr(ids, exprs, before, blocks, inside))
+        got = cut(eval_expr(ids, exprs, before, blocks, inside, parts_of))
         side = lambda c: here.where("kind = 'assign'").select(*POINT, F.col(c).alias("expr_id")).join(got, [*POINT, "expr_id"]).select(*POINT, "value")
         assigns = here.where("kind = 'assign'").select(*POINT)
         calls = here.where("kind = 'black'")
         seeds = calls.select(*POINT, F.explode("args").alias("expr_id")).join(got, [*POINT, "expr_id"]).select(*POINT, "value")
-        named = calls.select(*POINT, F.explode("regions").alias("super")).join(inside, "super").join(blocks.select(F.col("region_id").alias("sub"), "block_id"), "sub")
+        named = calls.select(*POINT, F.explode("regions").alias("super")).join(inside, "super").join(blocks.select("graph_id", F.col("region_id").alias("sub"), "block_id"), ["graph_id", "sub"])
         seeds = seeds.union(named.select(*POINT, F.col("block_id").alias("value")))
-        kept = before.join(here.select(*POINT), POINT, "left_anti")
-        new = kept.union(assign_effect(before.join(assigns, POINT, "left_semi"), side("lhs"), side("rhs"), blocks)).union(black_effect(before.join(calls.select(*POINT), POINT, "left_semi"), seeds, blocks))
-        new = cut(new.select(*POINT, "block_id", "value").distinct())
-        if new.exceptAll(after).isEmpty() and after.exceptAll(new).isEmpty():
-            return new
-        after = new
+        new = before.join(here.select(*POINT), POINT, "left_anti").union(assign_effect(before.join(assigns, POINT, "left_semi"), side("lhs"), side("rhs"), blocks))
+        if not calls.isEmpty():
+            new = new.union(black_effect(before.join(calls.select(*POINT), POINT, "left_semi"), seeds, blocks))
+        both = new.select(*POINT, "block_id", "value", F.lit(1).alias("__new"), F.lit(0).alias("__old")).union(after.join(asked, POINT, "left_semi").select(*POINT, "block_id", "value", F.lit(0), F.lit(1)))
+        rows = cut(both.groupBy(*POINT, "block_id", "value").agg(F.max("__new").alias("__new"), F.max("__old").alias("__old")))
+        changed = rows.where("__new <> __old").select(*POINT).distinct()
+        asked_next = cut(changed.withColumnRenamed("point", "src").join(steps, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("point")).distinct())
+        after = cut(after.join(asked, POINT, "left_anti").union(rows.where("__new = 1").select(*POINT, "block_id", "value")))
+        if asked_next.isEmpty():
+            return after
+        asked = asked_next
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 
@@ -206,7 +230,7 @@ def may_alias(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
 def must_alias(values: DataFrame, key: list[str], blocks: DataFrame) -> DataFrame:
     """(key, block_id): where a value is defined and one static block, so that equal ids must alias."""
     one = values.groupBy(*key).agg(F.count_distinct("value").alias("n"), F.min("value").alias("block_id")).where("n = 1 and block_id >= 0")
-    return one.join(blocks.where("alloc = 'static'").select("block_id"), "block_id").select(*key, "block_id")
+    return one.join(blocks.where("alloc = 'static'").select("block_id").distinct(), "block_id").select(*key, "block_id")
 
 
 def undefinedness(values: DataFrame, key: list[str]) -> DataFrame:
@@ -217,7 +241,7 @@ def undefinedness(values: DataFrame, key: list[str]) -> DataFrame:
 
 def points_to_asserts(values: DataFrame, key: list[str], blocks: DataFrame) -> DataFrame:
     """(key, one_of, n_not): the static blocks that a value is one of (sorted; null if it may be undefined or dynamic), and how many static blocks it is none of."""
-    static = blocks.where("alloc = 'static'").select(F.col("block_id").alias("value"), F.lit(1).alias("__static"))
+    static = blocks.where("alloc = 'static'").select(F.col("block_id").alias("value"), F.lit(1).alias("__static")).distinct()
     total = static.agg(F.count("*").alias("__total"))
     sums = values.join(static, "value", "left").groupBy(*key).agg(F.sort_array(F.collect_set(F.when(F.col("__static") == 1, F.col("value")))).alias("own"), F.max((F.col("__static").isNull()).cast("int")).alias("__open"), F.max((F.col("value") == ANY).cast("int")).alias("__any"))
     rows = sums.withColumn("__one", F.lit(1)).join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one")

@@ -258,7 +258,7 @@ def test_points_to_general_equals_direct(spark):
     g = build(spark, list("sabj"), "s-a s-b a-j b-j", "s")
     region = spark.createDataFrame([(0,)], "region_id long")
     inside = pointsto.subregions(region, spark.createDataFrame([], "super long, sub long"))
-    blocks = spark.createDataFrame([(i, 0, "simple", "static", None, None) for i in (1, 2, 3)], "block_id long, region_id long, kind string, alloc string, parent_block long, pos int")
+    blocks = spark.createDataFrame([(0, i, 0, "simple", "static", None, None) for i in (1, 2, 3)], "graph_id long, block_id long, region_id long, kind string, alloc string, parent_block long, pos int")
     exprs = spark.createDataFrame([(10 + i, 0, "block", None, None, i, None, None) for i in (1, 2, 3)] + [(20, 1, "value", 11, None, None, None, None)], "expr_id long, level int, op string, arg1 long, arg2 long, block_id long, region_id long, field int")
     kinds = "graph_id long, node_id long, stmt_id long, pos int, kind string, lhs long, rhs long, regions array<long>, args array<long>"
     stmts = spark.createDataFrame([(0, 1, 100, 0, "assign", 11, 12, None, None), (0, 2, 101, 0, "assign", 11, 13, None, None), (0, 3, 102, 0, "assign", 20, 11, None, None)], kinds)
@@ -275,6 +275,107 @@ def test_points_to_general_equals_direct(spark):
     assert held[102, "y"] == {2, 3} and held[-13, "y"] == {-1}
 
 
+BLOCKS = [(1, 1, "simple", "static", None, None), (2, 1, "simple", "static", None, None), (3, 2, "simple", "dynamic", None, None), (4, 2, "compound", "static", None, None), (5, 2, "simple", "static", 4, 0), (6, 2, "simple", "static", 4, 1), (7, 3, "pseudo", "dynamic", None, None)]
+INSIDE = {1: {1}, 2: {2, 3}, 3: {3}}
+UNDEF, ANY = -1, -2
+
+
+def plain_value(e, exprs, state):
+    """The values of an expression, as the reference's rules read; state: {block: values}, or None if nothing is known."""
+    op, one, two, block, region, field = exprs[e]
+    kind, part = {b[0]: b[2] for b in BLOCKS}, {(b[4], b[5]): b[0] for b in BLOCKS if b[4]}
+    members = lambda r: {b[0] for b in BLOCKS if b[1] in INSIDE[r]}
+    if op in ("block", "undef", "any"):
+        return {block if op == "block" else UNDEF if op == "undef" else ANY}
+    if op == "some":
+        return members(region)
+    given = plain_value(one, exprs, state)
+    if op == "oneof":
+        return given | plain_value(two, exprs, state)
+    blocks = set(kind) if ANY in given and op != "region" else {v for v in given if v >= 0}
+    if op == "region":
+        return set().union(*(members(next(b[1] for b in BLOCKS if b[0] == v)) for v in blocks)) | given & {ANY}
+    out = given & {UNDEF}
+    if op == "sub":
+        out |= {v for v in blocks if kind[v] == "pseudo"} | {part[v, field] for v in blocks if (v, field) in part}
+        return out | ({UNDEF} if ANY in given else set())
+    held = [v for v in blocks if kind[v] != "compound"]
+    return out | ({ANY} if state is None and held else set().union(*(state.get(v, set()) for v in held)) if state is not None else set())
+
+
+def plain_effect(stmt, exprs, state):
+    kind, lhs, rhs, regions, args = stmt
+    inner = {b[0] for b in BLOCKS if b[2] != "compound"}
+    if kind == "assign":
+        targets, values = plain_value(lhs, exprs, state), plain_value(rhs, exprs, state)
+        if state is None or (ANY in targets and ANY in values):
+            return None
+        hit = inner if ANY in targets else targets & inner
+        out = {b: set(v) for b, v in state.items()}
+        if len(hit) == 1 and ANY not in targets and next(b[3] for b in BLOCKS if b[0] in hit) == "static":
+            out.pop(next(iter(hit)), None)
+        for b in hit:
+            out[b] = out.get(b, set()) | values
+        return out
+    reach = set().union(*(plain_value(e, exprs, state) for e in args), *({b[0] for b in BLOCKS if b[1] in INSIDE[r]} for r in regions))
+    if state is None or ANY in reach:
+        return None
+    todo = list(reach)
+    while todo:
+        v = todo.pop()
+        for n in state.get(v, set()) | {b[0] for b in BLOCKS if b[4] == v}:
+            if n not in reach:
+                reach.add(n)
+                todo.append(n)
+    out = {b: set(v) for b, v in state.items()}
+    for b in (v for v in reach if v >= 0):
+        out[b] = out.get(b, set()) | reach
+    return out
+
+
+def test_points_to_is_a_fixpoint_of_the_plain_rules(spark):
+    rng = random.Random(11)
+    graphs, edges, stmts, exprs, programs = 12, [], [], {}, {}
+    for i in range(7):
+        exprs[i] = (0, "block", None, None, i + 1, None, None)
+    exprs |= {10: (0, "undef", None, None, None, None, None), 11: (0, "any", None, None, None, None, None), 12: (0, "some", None, None, None, 2, None)}
+    ops = ["value", "value", "value", "sub", "region", "oneof"]
+    for i in range(20, 36):
+        level = 1 + (i - 20) // 8
+        below = [e for e in exprs if exprs[e][0] < level]
+        exprs[i] = (level, ops[i % 6], rng.choice(below), rng.choice(below) if ops[i % 6] == "oneof" else None, None, None, rng.randrange(2))
+    for gid in range(graphs):
+        edges += [(gid, e, a, b, "") for e, (a, b) in enumerate([(0, 1), (0, 2), (1, 2), (2, 1), (1, 3), (2, 4)])]
+        for n in range(5):
+            lhs = rng.choice([*range(3), 4, 5, *range(20, 36)] if gid % 2 else [*range(3), 4, 5, *range(20, 28)])
+            row = ("black", None, None, [rng.choice([1, 3])], [rng.choice(list(exprs))]) if rng.random() < 0.2 else ("assign", lhs, rng.choice([e for e in exprs if e != 11 or gid % 2]), [], [])
+            programs[gid, 100 + n] = row
+            stmts.append((gid, n, 100 + n, 0, row[0], row[1], row[2], row[3], row[4]))
+    nodes = spark.createDataFrame([(gid, n, "") for gid in range(graphs) for n in range(5)], "graph_id long, node_id long, info string")
+    g = Graph(nodes, spark.createDataFrame(edges, "graph_id long, edge_id long, src long, dst long, info string"), spark.createDataFrame([(gid, 0) for gid in range(graphs)], "graph_id long, start long"))
+    table = spark.createDataFrame([(e, *v) for e, v in exprs.items()], "expr_id long, level int, op string, arg1 long, arg2 long, block_id long, region_id long, field int")
+    blocks = spark.createDataFrame([(gid, *b) for gid in range(graphs) for b in BLOCKS], "graph_id long, block_id long, region_id long, kind string, alloc string, parent_block long, pos int")
+    inside = spark.createDataFrame([(a, b) for a, own in INSIDE.items() for b in own], "super long, sub long")
+    rows = spark.createDataFrame(stmts, "graph_id long, node_id long, stmt_id long, pos int, kind string, lhs long, rhs long, regions array<long>, args array<long>")
+    after = {}
+    for r in pointsto.points_to(g, rows, table, blocks, inside).collect():
+        after.setdefault((r.graph_id, r.point), {}).setdefault(r.block_id, set()).add(r.value)
+    plain = {e: v[1:] for e, v in exprs.items()}
+    start = {b[0]: {UNDEF} for b in BLOCKS if b[2] != "compound"}
+    for gid in range(graphs):
+        for n in range(5):
+            entry = [after.get((gid, 100 + a)) for _, _, a, b, _ in edges[:6] if b == n] + ([start] if n == 0 else [])
+            for point, before in ((-10 - n, [x for x in entry if x]), (100 + n, [after[gid, -10 - n]])):
+                lost = any(ANY in x for x in before)
+                state = None if lost else {b: set().union(*(x.get(b, set()) for x in before)) for b in set().union(*before)}
+                want = state if point < 0 else plain_effect(programs[gid, point], plain, state)
+                got = after[gid, point]
+                if lost and point < 0:
+                    assert ANY in got
+                else:
+                    assert ({b: v for b, v in want.items() if v} if want is not None else {ANY: {ANY}}) == got, (gid, point, programs.get((gid, point)))
+
+
 def test_facts_and_dot(spark):
     df = spark.createDataFrame([(["a"], ["a", "b"]), (["a"], ["a"]), (["a"], ["b"]), ([], [])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(facts.facts_compare(df.a, df.b)).collect()] == [-1, 0, None, 0]
