@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgraph.llm import decontaminate, langid, linededup, packing, queries, simhash
+from flowgraph.llm import decontaminate, langid, linededup, queries, simhash
 from flowgraph.llm.storage import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
