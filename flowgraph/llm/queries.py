@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgraph.llm import decontaminate, langid, linededup, packing, parsing, pitmanyor, simhash, tokencount, tokenfile, toxicity
+from flowgraph.llm import decontaminate, langid, linededup, merkle, packing, parsing, periodic, pitmanyor, simhash, tokencount, tokenfile, toxicity
 from flowgraph.llm.storage import scratch_path
 
 
@@ -136,6 +136,99 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def ascii_lower(text) -> Column:
+    """A-Z in lower case, all else as it is."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, with every third one's text tampered with."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered=ascii_lower, where=tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: CRC-32 of a text of ASCII characters for DuckDB, bit by bit.
+_SQL_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT for i in range(8)]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"""
+
+
+def _sql_leaf(text: str) -> str:
+    parts = (f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(parts)})"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS t FROM (SELECT DISTINCT lang FROM documents)),
+hashed AS (
+  SELECT doc_id, lang, {_sql_leaf('text')} AS leaf, CASE WHEN {_SQL_CRC.format(x="CAST(doc_id AS VARCHAR)")} % 3 = 0
+    THEN {_sql_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents
+),
+leaves AS (
+  SELECT doc_id, leaf, coalesce(changed, leaf) AS first, t, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY t) AS n
+  FROM hashed JOIN langs ON hashed.lang IS NOT DISTINCT FROM langs.lang
+),
+low AS (
+  SELECT t, 0 AS lvl, pos, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT t, lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM low WHERE n > 1 GROUP BY t, lvl, n, pos // 8
+),
+high AS (
+  SELECT 0 AS lvl, t AS pos, h, (SELECT count(*) FROM langs) AS n FROM low WHERE n = 1
+  UNION ALL
+  SELECT lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM high WHERE n > 1 GROUP BY lvl, n, pos // 8
+),
+nodes AS (SELECT t, lvl, pos, h FROM low WHERE n > 1 UNION ALL SELECT -1, lvl, pos, h FROM high WHERE n > 1),
+sib AS (
+  SELECT t, lvl, pos, coalesce(string_agg(h, '') OVER (PARTITION BY t, lvl, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (PARTITION BY t, lvl, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM nodes
+),
+steps AS (
+  SELECT a.t, a.pos, s.lvl AS step, s.l, s.r FROM leaves a JOIN sib s ON s.t = a.t AND s.pos = a.pos >> (3 * s.lvl)
+  UNION ALL
+  SELECT a.t, a.pos, 1000 + s.lvl, s.l, s.r FROM leaves a JOIN sib s ON s.t = -1 AND s.pos = a.t >> (3 * s.lvl)
+),
+paths AS (SELECT t, pos, list(l || '|' || r ORDER BY step) AS path, string_agg(l || r, '' ORDER BY step) AS all_ FROM steps GROUP BY t, pos),
+roots AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, u.h AS subroot, root, sha256(coalesce(all_, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM (
+  SELECT doc_id, leaf, t, all_, list_reduce(list_prepend(first, coalesce(path, [])), lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) AS folded_root
+  FROM leaves LEFT JOIN paths USING (t, pos)
+) AS folded JOIN low u ON u.t = folded.t AND u.n = 1 CROSS JOIN roots
+"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document's words, by a hash of its id, repeat with a period from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    told = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    told = told.withColumn("n", F.size("words").cast("long"))
+    told = told.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    told = told.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("long"))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    made = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("words", place(i).cast("int"))), " ")
+    return told.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents."""
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.less")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.less)").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_packing": op2_packing,
@@ -147,8 +240,11 @@ QUERIES = {
     "op8_token_file": op8_token_file,
     "op9_simhash": op9_simhash,
     "op10_fingerprints": op10_fingerprints,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
