@@ -62,14 +62,18 @@ def mark(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (whole & np.uint64(255)).astype(np.uint8), mix(keys + np.arange(keys.shape[1], dtype=np.uint64))
 
 
-def near(sketches: np.ndarray, bounds: np.ndarray, allowed: Callable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs that agree in enough coordinates, with the number of them."""
+def near(sketches: np.ndarray, bounds: np.ndarray, allowed: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that agree in enough coordinates."""
     for left, right in pairs_between(bounds):
         keep = np.flatnonzero(allowed(left, right))
         left, right = left[keep], right[keep]
-        score = (sketches[left] == sketches[right]).sum(axis=1)
-        keep = score >= AGREE
-        yield left[keep], right[keep], score[keep]
+        keep = (sketches[left] == sketches[right]).sum(axis=1) >= AGREE
+        yield left[keep], right[keep]
+
+
+def agree(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Rows that agree with one in enough coordinates."""
+    return (sketches == one).sum(axis=1) >= AGREE
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2) -> DataFrame:
@@ -80,5 +84,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is confirmed on the full sets (see verified_groups, also for nulls, ties and hot groups). A document without words
     is linked with nothing and names its own component.
     """
-    found = verified_groups(docs, Sketches(mark, near), k, id_col, text_col)
+    found = verified_groups(docs, Sketches(mark, near, agree), k, id_col, text_col)
     return found.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_col)))

@@ -1,7 +1,7 @@
 """Groups of texts whose sets of word shingles are alike, every link confirmed on the full sets.
 
-Candidates share a bucket. Of a bucket, no pairs of one group are compared, and few enough others are confirmed to join what
-belongs together; what is left is compared whole, in cells of bounded size.
+Candidates share a bucket. A few of each bucket are confirmed first and make groups; sketches then tell which groups may
+still belong together, and these are compared whole, in cells of bounded size.
 """
 
 from __future__ import annotations
@@ -68,13 +68,14 @@ class Sketches:
     """How candidates are found. All functions work on whole arrays.
 
     mark(grams, bounds): (sketches as rows of bytes, buckets as rows of 64-bit keys) of some sets. near(sketches, bounds,
-    allowed): arrays (left, right, score) of rows that lie between the same bounds and are near enough to be a link,
-    the score higher for nearer ones; allowed(left, right) tells which pairs matter. A pair that is alike must share a
-    bucket and be near, but for a stated chance.
+    allowed): arrays (left, right) of rows that lie between the same bounds and are near enough to be a link;
+    allowed(left, right) tells which pairs matter. agree(sketches, one): which rows are near enough to one. A pair that is
+    alike must share a bucket and be near, but for a stated chance.
     """
 
     mark: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-    near: Callable[..., Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+    near: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]
+    agree: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def pairs_between(bounds: np.ndarray, step: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -134,33 +135,105 @@ def _cells(buckets: DataFrame, nodes: DataFrame, groups: DataFrame | None) -> Da
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def _candidates(cells: DataFrame, near: Callable, percent: int, best: bool) -> DataFrame:
-    """(a, b, score, pairs): near pairs of different groups; for best, each row's nearest of them alone, and how many it has."""
+def _near_links(cells: DataFrame, near: Callable, percent: int) -> DataFrame:
+    """(a, b): links that join, within each cell, all that near pairs of different groups join; no more than one for each row."""
 
-    def found(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        new = np.append(True, (held["key"][1:] != held["key"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1]))
+    def found(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+        new = _changes(held, ["key", "i", "j"])
         node, c, n, part, whole = held["node"], held["c"], held["n"], held["part"], held["i"] == held["j"]
 
         def allowed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
             fits = 100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])
             return (c[left] != c[right]) & (whole[left] | (part[left] != part[right])) & fits
 
-        sketches = np.frombuffer(b"".join(held["sketch"].tolist()), dtype=np.uint8).reshape(len(node), -1)
-        for left, right, score in near(sketches, np.append(np.flatnonzero(new), len(node)), allowed):
-            pairs = np.ones(len(left), dtype=np.int64)
-            if best:
-                left, right, score = np.append(left, right), np.append(right, left), np.append(score, score)
-                order = np.lexsort((mix(node[right].astype(np.uint64)), -score, left))
-                first = np.flatnonzero(np.append(True, left[order][1:] != left[order][:-1])) if len(order) else order
-                pairs = np.diff(np.append(first, len(order)))
-                left, right, score = left[order][first], right[order][first], score[order][first]
-            yield pa.RecordBatch.from_arrays([pa.array(node[left]), pa.array(node[right]), pa.array(score.astype(np.int32)), pa.array(pairs)], names=["a", "b", "score", "pairs"])
+        labels = np.arange(len(node))
+        for left, right in near(_rows_of(held["sketch"]), np.append(new, len(node)), allowed):
+            while True:
+                low = np.minimum(labels[left], labels[right])
+                if (labels[left] == low).all() and (labels[right] == low).all():
+                    break
+                for end in (left, right):
+                    np.minimum.at(labels, labels[end], low)
+                    np.minimum.at(labels, end, low)
+                while (labels != labels[labels]).any():
+                    labels = labels[labels]
+        at = np.flatnonzero(labels != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[labels[at]]), pa.array(node[at])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _whole_groups(batches, ["key", "i", "j"]):
-            yield from found(held)
+            yield found(held)
 
-    return cells.mapInArrow(run, "a long, b long, score int, pairs long")
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def _changes(held: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
+    """Where another key begins."""
+    new = np.zeros(len(held[keys[0]]), dtype=bool)
+    for key in keys:
+        new[1:] |= held[key][1:] != held[key][:-1]
+    new[:1] = True
+    return np.flatnonzero(new)
+
+
+def _rows_of(sketches: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.tolist()), dtype=np.uint8).reshape(len(sketches), -1)
+
+
+def _cluster_cells(clusters: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of the cells of clusters (node, c, cluster) that hold several groups: (cluster, i, j, guest, node, c, n, sketch, text).
+
+    The largest group of a cluster stays in its parts; members of the others are guests of all parts as well, cut into
+    parts of their own, so a cell holds at most two parts and a cluster of one large group costs little more than its rows.
+    """
+    sizes = clusters.groupBy("cluster", "c").agg(F.count("*").alias("size"))
+    live = sizes.groupBy("cluster").agg(F.max(F.struct("size", "c")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("groups")).where("groups > 1")
+    parts = lambda n: F.ceil(n / _PART).cast("int")
+    live = live.select("cluster", F.col("main.c").alias("main"), parts(F.col("size")).alias("parts"), parts(F.col("size") - F.col("main.size")).alias("rest"))
+    rows = clusters.join(live, "cluster").join(nodes.select("node", "n", "sketch"), "node").join(texts, "node")
+    own = F.xxhash64("node")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["cluster", "i", "j", "guest", "node", "c", "n", "sketch", "text"]
+    members = rows.withColumns({"i": F.pmod(own, F.col("parts")).cast("int"), "guest": F.lit(0)}).withColumn("j", every(F.col("rest"))).select(columns)
+    guests = rows.where("c <> main").withColumns({"j": F.pmod(own, F.col("rest")).cast("int"), "guest": F.lit(1)}).withColumn("i", every(F.col("parts"))).select(columns)
+    return members.unionByName(guests).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "guest")
+
+
+def _alike_in_cells(cells: DataFrame, agree: Callable, k: int, percent: int) -> DataFrame:
+    """(a, b): links between guests and members of different groups whose full sets are alike, enough to join what they join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _whole_groups(batches, ["cluster", "i", "j"]):
+            found: list[tuple[int, int]] = []
+            new = _changes(held, ["cluster", "i", "j"])
+            for lo, hi in zip(new, np.append(new[1:], len(held["node"]))):
+                found += _alike({c: v[lo:hi] for c, v in held.items()}, agree, k, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def _alike(cell: dict[str, np.ndarray], agree: Callable, k: int, percent: int) -> list[tuple[int, int]]:
+    grams, bounds = shingle_sets(pa.array(cell["text"], pa.string()), k)
+    sketches, sizes, split = _rows_of(cell["sketch"]), np.diff(bounds), int(np.searchsorted(cell["guest"], 1))
+    _, grams = np.unique(grams, return_inverse=True)
+    mine, groups = np.zeros(int(grams.max(initial=0)) + 1, dtype=bool), cell["c"].copy()
+    found = []
+    for at in range(split, len(sizes)):
+        rows = np.flatnonzero((groups[:split] != groups[at]) & agree(sketches[:split], sketches[at]))
+        rows = rows[100 * np.minimum(sizes[rows], sizes[at]) >= percent * np.maximum(sizes[rows], sizes[at])]
+        if not len(rows):
+            continue
+        own = grams[bounds[at] : bounds[at + 1]]
+        mine[own] = True
+        both = np.add.reduceat(mine[grams[ranges(bounds[rows], sizes[rows])]], np.cumsum(sizes[rows]) - sizes[rows], dtype=np.int64)
+        mine[own] = False
+        for row in rows[100 * both >= percent * (sizes[rows] + sizes[at] - both)]:
+            if groups[row] != groups[at]:
+                found.append((int(cell["node"][row]), int(cell["node"][at])))
+                groups[groups == groups[row]] = groups[at]
+    return found
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -182,19 +255,20 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield {c: held.column(c).to_numpy() for c in held.column_names}
 
 
-def verified_groups(docs: DataFrame, sketches: Sketches, k: int, id_col: str, text_col: str, percent: int = 80, orders: int = 2, rounds: int = 4) -> DataFrame:
+def verified_groups(docs: DataFrame, sketches: Sketches, k: int, id_col: str, text_col: str, percent: int = 80, orders: int = 2) -> DataFrame:
     """(id, n_shingles, component_id): texts of which 100 * common shingles >= percent * all shingles, also over others, share a component.
 
     1. Texts are marked with sketches and buckets; equal sets are one node from here on, whatever their number.
     2. Each node is paired with the first node of its buckets in `orders` orders; confirmed pairs make groups.
-    3. Buckets that still hold several groups are cut into cells. Each node is paired with its nearest one of another
-       group, as long as there are many near pairs, and then all near pairs of different groups are confirmed. So every
-       near pair in a bucket is confirmed or lies in one group.
-
-    Confirming compares the sets of the texts themselves; 64-bit hashes stand for shingles. Hot buckets are split by AQE in
-    joins and into cells of at most two parts of 512. component_id is the smallest id of the component; a null id names
-    none. Rows that repeat an id are documents of their own. Texts without words (and null) are one component here, with
-    n_shingles 0. An empty table gives an empty result; other columns are ignored. Ids must fit a long.
+    3. Buckets that still hold several groups are cut into cells. Near pairs of different groups join their groups to
+       clusters; of these, links are kept and never pairs.
+    4. Within a cluster, all near pairs of different groups are confirmed, but for those that others have joined before.
+    So every near pair of a bucket is confirmed or lies in one group.
+
+    Confirming compares the sets of the texts themselves; 64-bit hashes stand for shingles. Hot buckets and clusters are
+    split by AQE in joins, and into cells of at most two parts of 512. component_id is the smallest id of the component; a
+    null id names none. Rows that repeat an id are documents of their own. Texts without words (and null) are one component
+    here, with n_shingles 0. An empty table gives an empty result; other columns are ignored. Ids must fit a long.
     """
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     read = read.withColumn("hash", F.xxhash64("text"))
@@ -218,33 +292,16 @@ def verified_groups(docs: DataFrame, sketches: Sketches, k: int, id_col: str, te
     wanted = buckets.select("node").distinct().join(nodes.select("node", "row.id", "row.hash"), "node").withColumnsRenamed({"id": "__id", "hash": "__hash"})
     texts = read.join(wanted, (F.col("hash") == F.col("__hash")) & F.col("id").eqNullSafe(F.col("__id"))).groupBy("node").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
-    links = [materialize(_confirmed(_pivot_pairs(buckets, orders), texts, k, percent), "links")]
-    for number in range(rounds):
-        groups = connected_components(_union(links))
-        cells = _cells(buckets, nodes, groups)
-        if number < rounds - 1:
-            near = materialize(_candidates(cells, sketches.near, percent, best=True), "near")
-            many, few = near.agg(F.sum("pairs"), F.countDistinct("a")).first()
-            if not many:
-                break
-            if many > 32 * few:
-                nearest = near.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-                pairs = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                links.append(materialize(_confirmed(pairs, texts, k, percent), "links"))
-                continue
-        near = _candidates(cells, sketches.near, percent, best=False)
-        pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links.append(materialize(_confirmed(pairs, texts, k, percent), "links"))
-        groups = connected_components(_union(links))
-        break
+    links = materialize(_confirmed(_pivot_pairs(buckets, orders), texts, k, percent), "links")
+    groups = connected_components(links)
+    near = materialize(_near_links(_cells(buckets, nodes, groups), sketches.near, percent), "near")
+    if not near.isEmpty():
+        joined = connected_components(links.union(near)).withColumnRenamed("component", "cluster")
+        clusters = _with_components(joined, groups)
+        more = _alike_in_cells(_cluster_cells(clusters, nodes, texts), sketches.agree, k, percent)
+        groups = connected_components(links.union(more))
     named = _with_components(nodes.select("d1", "d2", "n", "low", "node"), groups)
     lowest = named.groupBy("c").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "c").select("d1", "d2", "n", "component_id")
     return marked.select("id", "d1", "d2", "n").join(named, ["d1", "d2", "n"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
-
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return out

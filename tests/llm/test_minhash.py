@@ -69,12 +69,10 @@ def test_groups(spark, seed):
 
 
 def test_cells_of_large_buckets(spark, monkeypatch):
-    """Buckets are cut in parts of a few members, and both ways of pairing are used."""
+    """Buckets and clusters are cut in parts of a few members."""
     monkeypatch.setattr(verified, "_PART", 7)
-    rows = texts(3)
-    nearest = verified.verified_groups(spark.createDataFrame(rows, SCHEMA), verified.Sketches(minhash.mark, minhash.near), 2, "doc_id", "text", orders=1, rounds=6)
-    at_once = verified.verified_groups(spark.createDataFrame(rows, SCHEMA), verified.Sketches(minhash.mark, minhash.near), 2, "doc_id", "text", orders=1, rounds=1)
-    for found in (nearest, at_once):
+    for rows, orders in ((texts(3), 1), (texts(4), 2)):
+        found = verified.verified_groups(spark.createDataFrame(rows, SCHEMA), verified.Sketches(minhash.mark, minhash.near, minhash.agree), 2, "doc_id", "text", orders=orders)
         found = found.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
         assert sorted(map(tuple, found.collect()), key=str) == sorted(groups_of(rows, 2), key=str)
 
