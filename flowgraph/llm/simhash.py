@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from flowgraph.llm.components import connected_components
 from flowgraph.llm.storage import materialize
-from flowgraph.llm.textops import LOWER, gram_hashes, mix, slices, span_hashes, spans, text_bytes
+from flowgraph.llm.textops import mix, slices
+from flowgraph.llm.verified import Sketches, verified_rows
 
-_NOT_WHITE = np.ones(256, dtype=bool)
-_NOT_WHITE[[32, *range(9, 14)]] = False
 #: Shingles whose bits are counted at a time.
 _STEP = 100_000
 
@@ -286,68 +285,79 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 COPY_WORDS, COPY_SHINGLE = 4, 5
 
 
-def copy_marks(texts: pa.Array, bands: int, values: int) -> tuple[np.ndarray, np.ndarray]:
-    """SimHashes of COPY_WORDS words over each text's set of shingles, and its shard of each band.
+def copy_marks(grams: np.ndarray, bounds: np.ndarray, bands: int, values: int) -> tuple[np.ndarray, np.ndarray]:
+    """SimHashes of COPY_WORDS words over sets of shingles, as rows of bytes, and each set's shard of each band.
 
-    A shard is named by the least hashes of the text's shingles under `values` orders, so two texts share that of a
-    band with a chance of their similarity to the power of `values`.
+    A shard is named by the least hashes of the set's shingles under `values` orders, so two sets share that of a band
+    with a chance of their similarity to the power of `values`.
     """
-    data, offsets = text_bytes(texts)
-    data = LOWER[data]
-    starts, ends, bounds = spans(_NOT_WHITE[data], offsets)
-    words, sizes = span_hashes(data, starts, ends), np.diff(bounds)
-    grams, at = gram_hashes(words, bounds, COPY_SHINGLE)
-    owner = np.searchsorted(bounds, at, side="right") - 1
-    for i in np.flatnonzero((sizes > 0) & (sizes < COPY_SHINGLE)):
-        whole = gram_hashes(words[bounds[i] : bounds[i + 1]], np.array([0, sizes[i]]), int(sizes[i]))[0]
-        grams, owner = np.append(grams, whole), np.append(owner, i)
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
-    new = np.ones(len(grams), dtype=bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-    grams, owner = grams[new], owner[new]
-    fps, shards = np.zeros((len(texts), COPY_WORDS), dtype=np.uint64), np.zeros((len(texts), bands), dtype=np.uint64)
-    if not len(grams):
-        return fps, shards
-    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    own, n = owner[first], np.diff(np.append(first, len(grams)))
-    for i in range(COPY_WORDS):
-        bits = np.unpackbits(mix(grams + np.uint64(i + 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) > n[:, None]
-        fps[own, i] = np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
-    for band in range(bands):
-        key = np.full(len(own), np.uint64(band))
-        for i in range(values):
-            key = mix(key + np.minimum.reduceat(mix(grams + np.uint64(1000 + band * values + i)), first))
-        shards[own, band] = key
-    return fps, shards
-
-
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 48, shard_rows: int = 20_000, bands: int = 6, values: int = 2) -> DataFrame:
-    """(id, component_id): documents whose sets of 5-word shingles have a similarity (Jaccard) of about 0.8 or more share a component.
-
-    The similarity is read off SimHashes of 256 bits: sets of similarity 0.8 differ in 39 bits on average, with a
-    deviation of 6; those within `radius` are linked, also over others. Fingerprints meet in the BK-trees of shards that
-    the texts' least shingle hashes name, `bands` of them; a pair of similarity 0.8 shares none in 0.2 % of the cases.
-    Unrelated texts share no shard, however many there are. Words are runs of non-white ASCII, A-Z lower-cased; a text
-    of fewer than five words is one shingle; texts without words are copies of each other. component_id is the smallest
-    id of the component. Null ids stay, but name no component; an empty table gives an empty result; other columns are
-    ignored. Ids must fit a long.
+    n = np.diff(bounds)
+    own = np.flatnonzero(n)
+    fps, shards = np.zeros((len(n), COPY_WORDS), dtype="<u8"), np.zeros((len(n), bands), dtype=np.uint64)
+    if len(own):
+        first = bounds[own]
+        for i in range(COPY_WORDS):
+            bits = np.unpackbits(mix(grams + np.uint64(i + 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) > n[own][:, None]
+            fps[own, i] = np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
+        for band in range(bands):
+            key = np.full(len(own), np.uint64(band))
+            for i in range(values):
+                key = mix(key + np.minimum.reduceat(mix(grams + np.uint64(1000 + band * values + i)), first))
+            shards[own, band] = key
+    return fps.view(np.uint8).reshape(len(n), -1), shards
+
+
+def copy_sketches(radius: int, bands: int, values: int) -> Sketches:
+    """SimHashes that meet in the BK-trees of shards."""
+
+    def near(marks: np.ndarray, bounds: np.ndarray, allowed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        words = np.ascontiguousarray(marks).view("<u8").astype(np.uint64)
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            for node, close in BKTree(words[lo:hi]).within(words[lo:hi], radius):
+                left, right = lo + close, np.full(len(close), lo + node)
+                keep = allowed(left, right)
+                yield left[keep], right[keep]
+
+    def agree(marks: np.ndarray, one: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(marks ^ one).sum(axis=1, dtype=np.int64) <= radius
+
+    return Sketches(lambda grams, bounds: copy_marks(grams, bounds, bands, values), near, agree)
+
+
+def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 60, bands: int = 8, values: int = 2) -> DataFrame:
+    """(id, hash, component, component_id): near copies by five-word shingles, every link confirmed; see near_copy_groups.
+
+    One row for each row of docs: hash is its text's xxhash64, component the group of this very row.
     """
+    return verified_rows(docs, copy_sketches(radius, bands, values), COPY_SHINGLE, id_col, text_col).drop("n_shingles")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1_000_000):
-            fps, shards = copy_marks(batch.column("text"), bands, values)
-            columns = [batch.column("id"), pa.array([x.tobytes() for x in fps], pa.binary()), pa.array(shards.view(np.int64).tolist(), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "shards"])
-
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = materialize(read.mapInArrow(run, "id long, fp binary, shards array<long>"), "marked")
-    nodes = materialize(marked.groupBy("fp", "shards").agg(F.min("id").alias("rep")), "nodes")
-    rows = nodes.where("rep is not null").select("fp", "rep", F.posexplode("shards").alias("band", "bits"))
-    groups = connected_components(shard_links(rows, ["band", "bits"], radius, shard_rows))
-    named = nodes.join(groups, F.col("rep") == F.col("node"), "left").select("fp", "shards", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(named, ["fp", "shards"]).select(F.col("id").alias(id_col), "component_id")
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, component_id): documents whose sets of 5-word shingles have a similarity (Jaccard) of 0.8 or more share a component.
+
+    Candidates are read off SimHashes of 256 bits: sets of similarity 0.8 differ in 39 bits on average, with a deviation
+    of 6, and `radius` is 60. Fingerprints meet in the BK-trees of shards that the texts' least shingle hashes name,
+    8 bands of 2; a pair of similarity 0.8 shares none in 0.03 % of the cases. Unrelated texts share no shard, however many
+    there are. A candidate is a link only if the full sets of shingles are alike (see verified_groups), so every member of
+    a component is joined to the others by a chain of confirmed pairs. A text of fewer than five words is one shingle;
+    texts without words are copies of each other. component_id is the smallest id of the component. Null ids stay, but name
+    no component; rows that repeat an id are documents of their own; an empty table gives an empty result.
+    """
+    return copy_groups(docs, id_col, text_col, **options).select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs without near copies of others: of each group, the row of the smallest id stays (of rows that repeat that id, the one of the least text hash).
+
+    Rows with a null id stay. Rows that repeat id and text are one document and go or stay together. Other columns stay.
+    """
+    found = copy_groups(docs, id_col, text_col, **options).where("id is not null")
+    first = found.where("id = component_id").groupBy("component").agg(F.min("hash").alias("first"))
+    twins = found.where("id = component_id").join(first, "component").where("hash <> first").select("id", "hash")
+    gone = found.where("id <> component_id").select("id", "hash").union(twins).distinct().withColumnsRenamed({"id": "__gone_id", "hash": "__gone_hash"})
+    same = (F.col(id_col).cast("long") == F.col("__gone_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__gone_hash"))
+    return docs.join(gone, same, "left_anti")
 
 
 def fingerprint_hex(fp: str = "fp"):

@@ -256,7 +256,12 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 
 
 def verified_groups(docs: DataFrame, sketches: Sketches, k: int, id_col: str, text_col: str, percent: int = 80, orders: int = 2) -> DataFrame:
-    """(id, n_shingles, component_id): texts of which 100 * common shingles >= percent * all shingles, also over others, share a component.
+    """(id, n_shingles, component_id) of verified_rows."""
+    return verified_rows(docs, sketches, k, id_col, text_col, percent, orders).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def verified_rows(docs: DataFrame, sketches: Sketches, k: int, id_col: str, text_col: str, percent: int = 80, orders: int = 2) -> DataFrame:
+    """(id, hash, n_shingles, component, component_id), one for each row: texts of which 100 * common shingles >= percent * all shingles, also over others, share a component.
 
     1. Texts are marked with sketches and buckets; equal sets are one node from here on, whatever their number.
     2. Each node is paired with the first node of its buckets in `orders` orders; confirmed pairs make groups.
@@ -267,7 +272,7 @@ def verified_groups(docs: DataFrame, sketches: Sketches, k: int, id_col: str, te
 
     Confirming compares the sets of the texts themselves; 64-bit hashes stand for shingles. Hot buckets and clusters are
     split by AQE in joins, and into cells of at most two parts of 512. component_id is the smallest id of the component; a
-    null id names none. Rows that repeat an id are documents of their own. Texts without words (and null) are one component
+    null id names none. hash is the text's xxhash64. Rows that repeat an id are documents of their own. Texts without words (and null) are one component
     here, with n_shingles 0. An empty table gives an empty result; other columns are ignored. Ids must fit a long.
     """
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -302,6 +307,5 @@ def verified_groups(docs: DataFrame, sketches: Sketches, k: int, id_col: str, te
         groups = connected_components(links.union(more))
     named = _with_components(nodes.select("d1", "d2", "n", "low", "node"), groups)
     lowest = named.groupBy("c").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "c").select("d1", "d2", "n", "component_id")
-    return marked.select("id", "d1", "d2", "n").join(named, ["d1", "d2", "n"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-
+    named = named.join(lowest, "c").select("d1", "d2", "n", F.col("c").alias("component"), "component_id")
+    return marked.select("id", "hash", "d1", "d2", "n").join(named, ["d1", "d2", "n"]).select("id", "hash", F.col("n").alias("n_shingles"), "component", "component_id")
