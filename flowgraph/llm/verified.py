@@ -136,18 +136,20 @@ def _cells(buckets: DataFrame, nodes: DataFrame, groups: DataFrame | None) -> Da
 
 
 def _near_links(cells: DataFrame, near: Callable, percent: int) -> DataFrame:
-    """(a, b): links that join, within each cell, all that near pairs of different groups join; no more than one for each row."""
+    """(a, b): links that join all groups that near pairs join; of the groups in a batch of cells, fewer than there are groups."""
 
     def found(held: dict[str, np.ndarray]) -> pa.RecordBatch:
         new = _changes(held, ["key", "i", "j"])
-        node, c, n, part, whole = held["node"], held["c"], held["n"], held["part"], held["i"] == held["j"]
+        c, n, part, whole = held["c"], held["n"], held["part"], held["i"] == held["j"]
 
         def allowed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
             fits = 100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])
             return (c[left] != c[right]) & (whole[left] | (part[left] != part[right])) & fits
 
-        labels = np.arange(len(node))
-        for left, right in near(_rows_of(held["sketch"]), np.append(new, len(node)), allowed):
+        names, group = np.unique(c, return_inverse=True)
+        labels = np.arange(len(names))
+        for left, right in near(_rows_of(held["sketch"]), np.append(new, len(c)), allowed):
+            left, right = group[left], group[right]
             while True:
                 low = np.minimum(labels[left], labels[right])
                 if (labels[left] == low).all() and (labels[right] == low).all():
@@ -157,8 +159,8 @@ def _near_links(cells: DataFrame, near: Callable, percent: int) -> DataFrame:
                     np.minimum.at(labels, end, low)
                 while (labels != labels[labels]).any():
                     labels = labels[labels]
-        at = np.flatnonzero(labels != np.arange(len(node)))
-        return pa.RecordBatch.from_arrays([pa.array(node[labels[at]]), pa.array(node[at])], names=["a", "b"])
+        at = np.flatnonzero(labels != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[labels[at]]), pa.array(names[at])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _whole_groups(batches, ["key", "i", "j"]):
