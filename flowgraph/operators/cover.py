@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgraph.model import NODE, Graph
+from flowgraph.operators.auction import auction_matching
 from flowgraph.operators.dfs import dfst, edge_sorts
-from flowgraph.operators.fixpoint import double_pointers
+from flowgraph.operators.fixpoint import cut, double_pointers
 from flowgraph.operators.pergraph import per_graph
 
 
@@ -144,13 +145,19 @@ def _grouped(pairs: DataFrame, run) -> DataFrame:
     return per_graph(g, own, "l long, r long, weight long", ("__weight",))
 
 
-def max_matching(pairs: DataFrame) -> DataFrame:
+def max_matching(pairs: DataFrame, max_pairs: int = 1_000_000) -> DataFrame:
     """(graph_id, l, r, weight): a matching of the greatest total weight of each group of pairs (graph_id, l, r, weight).
 
-    Parts of a group that share no end are matched apart; the pairs that no matching needs are left out before a group
-    is packed. Weights are whole numbers; pairs without a positive one never count.
+    A group of at most max_pairs pairs is packed for one task, without the pairs that no matching needs; its parts that
+    share no end are matched apart. Larger groups are matched by bids over joins (see auction_matching), with the same
+    total. Weights are whole numbers; pairs without a positive one never count.
     """
-    return _grouped(pairs, lambda weights: [pair for part in components(weights) for pair in best_matching(part)])
+    sizes = cut(pairs.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > max_pairs).select("graph_id"))
+    run = lambda weights: [pair for part in components(weights) for pair in best_matching(part)]
+    if sizes.isEmpty():
+        return _grouped(pairs, run)
+    packed = _grouped(pairs.join(sizes, "graph_id", "left_anti"), run)
+    return packed.union(auction_matching(pairs.join(sizes, "graph_id", "left_semi")))
 
 
 def exhaustive_matching(pairs: DataFrame, most: int = 8) -> DataFrame:
