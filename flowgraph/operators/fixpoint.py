@@ -6,25 +6,44 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and written in the folder that all executors share, without its lineage.
+def _new_path(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share.
 
     The cluster names the folder in spark.checkpoint.dir. Where nothing is set, a session on this machine alone gets a
     temporary one.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and written in the shared folder, without its lineage."""
+    path = _new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Appended:
+    """A table in the shared folder that grows by appended parts, so that reading it never has a longer plan."""
+
+    def __init__(self, like: DataFrame):
+        self.spark, self.schema, self.path = like.sparkSession, like.schema, _new_path(like.sparkSession)
+        self.add(like.limit(0))
+
+    def add(self, rows: DataFrame) -> None:
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
 
 def closure(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 100_000) -> DataFrame:
@@ -49,8 +68,6 @@ def double_pointers(parents: DataFrame, key: list[str], up: str, max_rounds: int
 
     parents: key (its last column is the node), up: the node above or null. The pointers must have no cycle.
     """
-    from pyspark.sql import functions as F
-
     *group, node = key
     now = cut(parents.select(*key, F.coalesce(up, node).alias("root"), F.when(F.col(up).isNull() | (F.col(up) == F.col(node)), 0).otherwise(1).alias("depth")))
     for _ in range(max_rounds):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgraph.model import NODE, Graph
-from flowgraph.operators.fixpoint import closure, cut, double_pointers
+from flowgraph.operators.fixpoint import Appended, closure, cut, double_pointers
 from flowgraph.operators.pergraph import depth_first, out_lists, per_graph
 
 
@@ -54,38 +54,82 @@ def scc(g: Graph) -> DataFrame:
     return per_graph(g, _components, "node_id long, bivertex long")
 
 
-def _trimmed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Nodes and edges without those that no edge enters or leaves, again and again; and the nodes that went."""
-    gone = None
-    while True:
-        both = edges.select("graph_id", F.col("src").alias("node_id"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("graph_id", "dst", F.lit(0), F.lit(1)))
-        degrees = both.groupBy(*NODE).agg(F.max("out").alias("out"), F.max("into").alias("into"))
-        marked = cut(nodes.join(degrees.where("out = 1 and into = 1").select(*NODE, F.lit(True).alias("kept")), NODE, "left"))
-        out = marked.where("kept is null").select(*NODE)
-        if out.isEmpty():
-            return nodes, edges, gone
-        gone = out if gone is None else gone.union(out)
-        nodes = marked.where("kept").select(*NODE)
-        for end in ("src", "dst"):
-            edges = edges.join(nodes.withColumnRenamed("node_id", end), ["graph_id", end], "left_semi")
-        edges = cut(edges)
+def _degrees(edges: DataFrame) -> DataFrame:
+    """(graph_id, node_id, n_in, n_out) of the nodes at some edge."""
+    both = edges.select("graph_id", F.col("src").alias("node_id"), F.lit(0).alias("n_in"), F.lit(1).alias("n_out")).union(edges.select("graph_id", "dst", F.lit(1), F.lit(0)))
+    return both.groupBy(*NODE).agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
+
+
+def _without_chains(edges: DataFrame, found: Appended, max_rounds: int = 64) -> tuple[DataFrame, DataFrame | None]:
+    """The edges with one edge for each chain of nodes that one edge enters and one leaves; and (graph_id, node_id, head, tail) of these nodes.
+
+    head and tail are the nodes before and behind the chain. Chains are followed by doubling, in rounds of the logarithm
+    of their length. Circles of such nodes alone are components, and are added to found.
+    """
+    inner = cut(_degrees(edges).where("n_in = 1 and n_out = 1").select(*NODE))
+    if inner.isEmpty():
+        return edges, None
+    onward = edges.join(inner.withColumnRenamed("node_id", "src"), ["graph_id", "src"]).select("graph_id", F.col("src").alias("node_id"), F.col("dst").alias("to"))
+    ahead = inner.select("graph_id", F.col("node_id").alias("to"), F.lit(True).alias("open"))
+    now = onward.join(ahead, ["graph_id", "to"], "left").select(*NODE, "to", F.coalesce("open", F.lit(False)).alias("open"), F.col("node_id").alias("last"), F.col("node_id").alias("low"))
+    now = cut(now)
+    for _ in range(max_rounds):
+        then = now.select("graph_id", F.col("node_id").alias("to"), F.col("to").alias("to2"), F.col("open").alias("open2"), F.col("last").alias("last2"), F.col("low").alias("low2"))
+        step = now.where("open").join(then, ["graph_id", "to"])
+        step = step.select(*NODE, F.col("to2").alias("to"), F.col("open2").alias("open"), F.col("last2").alias("last"), F.least("low", "low2").alias("low"), (~F.col("open2") | (F.col("low2") < F.col("low"))).alias("moved"))
+        step = cut(step)
+        moved = not step.where("moved").isEmpty()
+        now = now.where("not open").union(step.drop("moved"))
+        if not moved:
+            break
+        now = cut(now)
+    found.add(now.where("open").select(*NODE, F.col("low").alias("component")))
+    done = cut(now.where("not open").select(*NODE, F.col("to").alias("tail"), "last"))
+    into = edges.join(inner.withColumnRenamed("node_id", "src"), ["graph_id", "src"], "left_anti").join(done.select("graph_id", F.col("node_id").alias("dst"), "tail", "last"), ["graph_id", "dst"])
+    ends = cut(into.select("graph_id", "last", F.col("src").alias("head"), "tail"))
+    for end in ("src", "dst"):
+        edges = edges.join(inner.withColumnRenamed("node_id", end), ["graph_id", end], "left_anti")
+    short = ends.where("head <> tail").select("graph_id", F.col("head").alias("src"), F.col("tail").alias("dst"))
+    return cut(edges.select("graph_id", "src", "dst").union(short).distinct()), cut(done.drop("tail").join(ends, ["graph_id", "last"]).drop("last"))
+
+
+def _trimmed(nodes: DataFrame, edges: DataFrame, found: Appended) -> tuple[DataFrame, DataFrame, bool]:
+    """Nodes and edges without those that no edge enters or leaves, which are added to found; and whether there were any."""
+    kept = _degrees(edges).where("n_in > 0 and n_out > 0").select(*NODE, F.lit(True).alias("kept"))
+    marked = cut(nodes.join(kept, NODE, "left"))
+    out = marked.where("kept is null").select(*NODE, F.col("node_id").alias("component"))
+    if out.isEmpty():
+        return nodes, edges, False
+    found.add(out)
+    nodes = marked.where("kept").select(*NODE)
+    for end in ("src", "dst"):
+        edges = edges.join(nodes.withColumnRenamed("node_id", end), ["graph_id", end], "left_semi")
+    return nodes, cut(edges), True
 
 
 def scc_by_joins(g: Graph, max_rounds: int = 10_000) -> DataFrame:
     """(graph_id, node_id, component) over all nodes, for graphs of any size; component is the least member.
 
-    Nodes that no edge enters or leaves are components of their own and go first. Each round colours the others with the
-    least node that reaches them and takes, for each colour, the nodes that reach its namesake within the colour; what
-    is left goes on.
+    Chains become single edges (a node of a chain is in the component of both its ends, or alone), and nodes that no edge
+    enters or leaves are components of their own, as long as there are any; both take rounds of the logarithm of a
+    chain's length. Then the rest is coloured with the least node that reaches each, and of each colour the nodes that
+    reach its namesake within the colour are a component; what is left goes on. Found components are appended to a
+    table, so plans do not grow.
     """
-    nodes, edges, found = cut(g.nodes.select(*NODE)), cut(g.edges.select("graph_id", "src", "dst").where("src <> dst").distinct()), None
+    nodes, edges = cut(g.nodes.select(*NODE)), cut(g.edges.select("graph_id", "src", "dst").where("src <> dst").distinct())
+    found, chains = Appended(nodes.withColumn("component", F.col("node_id"))), []
     for _ in range(max_rounds):
-        nodes, edges, alone = _trimmed(nodes, edges)
-        if alone is not None:
-            alone = alone.withColumn("component", F.col("node_id"))
-            found = alone if found is None else found.union(alone)
+        while True:
+            edges, chain = _without_chains(edges, found)
+            if chain is not None:
+                chains.append(chain)
+                circles = found.read()
+                nodes = cut(nodes.join(chain.select(*NODE), NODE, "left_anti").join(circles.select(*NODE), NODE, "left_anti"))
+            nodes, edges, fewer = _trimmed(nodes, edges, found)
+            if not fewer and chain is None:
+                break
         if nodes.isEmpty():
-            return nodes.withColumn("component", F.col("node_id")) if found is None else found
+            break
         colour = cut(nodes.withColumn("colour", F.col("node_id")))
         while True:
             came = edges.join(colour.select("graph_id", F.col("node_id").alias("src"), F.col("colour").alias("__c")), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.min("__c").alias("__c"))
@@ -97,13 +141,21 @@ def scc_by_joins(g: Graph, max_rounds: int = 10_000) -> DataFrame:
         inside = cut(ends.join(colour.select("graph_id", F.col("node_id").alias("dst"), "colour"), ["graph_id", "dst", "colour"]).select("graph_id", "src", "dst", "colour"))
         seed = colour.where("node_id = colour").select("graph_id", "node_id", "colour")
         took = closure(seed, lambda part: part.withColumnRenamed("node_id", "dst").join(inside, ["graph_id", "dst", "colour"]).select("graph_id", F.col("src").alias("node_id"), "colour"))
-        took = took.withColumnRenamed("colour", "component")
-        found = took if found is None else found.union(took)
+        found.add(took.withColumnRenamed("colour", "component"))
         nodes = cut(nodes.join(took, NODE, "left_anti"))
         for end in ("src", "dst"):
             edges = edges.join(nodes.withColumnRenamed("node_id", end), ["graph_id", end], "left_semi")
         edges = cut(edges)
-    raise RuntimeError("no end of components")
+    else:
+        raise RuntimeError("no end of components")
+    for chain in reversed(chains):  # the ends of a chain are known from later rounds
+        known = found.read()
+        for end in ("head", "tail"):
+            chain = chain.join(known.select("graph_id", F.col("node_id").alias(end), F.col("component").alias(f"{end}_in")), ["graph_id", end])
+        found.add(cut(chain.select(*NODE, F.when(F.col("head_in") == F.col("tail_in"), F.col("head_in")).otherwise(F.col("node_id")).alias("component"))))
+    rows = found.read()
+    least = rows.groupBy("graph_id", "component").agg(F.min("node_id").alias("least"))
+    return rows.join(least, ["graph_id", "component"]).select(*NODE, F.col("least").alias("component"))
 
 
 def loop_forest(g: Graph, tree: DataFrame) -> DataFrame:

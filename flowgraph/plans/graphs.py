@@ -179,6 +179,12 @@ def m1_idom_by_joins(spark, sf_dir):
     return dfs.idom_by_joins(derive.user_drop_graph(spark, sf_dir))
 
 
+@query("m1_idom_large", sql.query(sql.CUSTOMER, sql.DOM, select="SELECT graph_id, node_id, idom FROM idom"))
+def m1_idom_large(spark, sf_dir):
+    """In one large graph."""
+    return dfs.idom_by_joins(derive.customer_graph(spark, sf_dir))
+
+
 @query("m2_dom_children", sql.query(sql.USER_DROP, sql.DOM, select="SELECT graph_id, idom AS node_id, string_agg(node_id, ',' ORDER BY node_id) AS children FROM idom WHERE idom IS NOT NULL GROUP BY ALL"))
 def m2_dom_children(spark, sf_dir):
     tree = dfs.idom(dfs.dfst(derive.user_drop_graph(spark, sf_dir))).where("idom is not null")

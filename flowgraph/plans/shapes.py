@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowgraph.operators import cover, dfs, dot, graph, regions, simplify
+from flowgraph.operators import auction, cover, dfs, dot, graph, regions, simplify
 from flowgraph.plans import sql
 from flowgraph.plans.graphs import query
 from flowgraph.sources import derive, generate
@@ -63,6 +63,13 @@ def l3_scc_large(spark, sf_dir):
     return found.join(F.broadcast(own), "graph_id").select("node_id", (F.col("component") == F.col("own")).cast("int").alias("with_start"))
 
 
+@query("l3_scc_customers", sql.query(sql.CUSTOMER, "thin AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst)", "pairs AS (SELECT src AS a, dst AS b FROM thin UNION SELECT p.a, t.dst FROM pairs p JOIN thin t ON t.src = p.b)",
+    "same AS (SELECT p.a, min(p.b) AS b FROM pairs p JOIN pairs q ON q.a = p.b AND q.b = p.a GROUP BY p.a)", select="SELECT graph_id, node_id, least(node_id, coalesce(b, node_id)) AS component FROM nodes LEFT JOIN same ON a = node_id"))
+def l3_scc_customers(spark, sf_dir):
+    """One large graph with many components, by joins alone."""
+    return regions.scc_by_joins(derive.customer_graph(spark, sf_dir))
+
+
 @query("l4_loop_forest", sql.query(sql.DAY, sql.dfs(), _LOOPS, select="SELECT l.graph_id, l.node_id, header, EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = l.graph_id AND e.src = l.node_id AND e.dst = l.node_id) AS has_self_loop FROM loop l"))
 def l4_loop_forest(spark, sf_dir):
     return regions.loop_forest(*_tree(spark, sf_dir))
@@ -261,6 +268,13 @@ def p5_max_matching(spark, sf_dir):
     return cover.max_matching(pairs).groupBy("graph_id").agg(F.sum("weight").alias("total"))
 
 
+@query("p5_auction", sql.query(sql._EV, _best_sql("pairs AS (SELECT CAST(0 AS BIGINT) AS graph_id, user_id AS l, k % 10 AS r, count(*) AS weight FROM ev GROUP BY ALL)"), select="SELECT graph_id, max(total) AS total FROM best GROUP BY graph_id"))
+def p5_auction(spark, sf_dir):
+    """All users and kinds of events as one component, matched by bids over joins."""
+    pairs = _pairs(spark, sf_dir, F.lit(0).cast("long"), F.col("user_id"), 10)
+    return auction.auction_matching(pairs).groupBy("graph_id").agg(F.sum("weight").alias("total"))
+
+
 @query("p6_exhaustive_matching", sql.query(sql._EV, _best_sql("pairs AS (SELECT user_id AS graph_id, day(ts) % 5 AS l, k % 4 AS r, count(*) AS weight FROM ev GROUP BY ALL)"), select="SELECT graph_id, max(total) AS total FROM best GROUP BY graph_id"))
 def p6_exhaustive_matching(spark, sf_dir):
     """The same by trying all matchings, for each user's days and kinds of events."""

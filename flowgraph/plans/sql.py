@@ -29,6 +29,11 @@ nodes AS (SELECT DISTINCT CAST(0 AS BIGINT) AS graph_id, l_partkey AS node_id FR
 edges AS (SELECT CAST(0 AS BIGINT) AS graph_id, o * 1000 + place AS edge_id, src, dst FROM step WHERE dst IS NOT NULL),
 starts AS (SELECT CAST(0 AS BIGINT) AS graph_id, min(l_partkey) AS start FROM lineitem)"""
 
+CUSTOMER = """step AS (SELECT o_orderkey, o_custkey AS src, lead(o_custkey) OVER (PARTITION BY o_orderpriority, CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS dst FROM orders),
+nodes AS (SELECT DISTINCT CAST(0 AS BIGINT) AS graph_id, o_custkey AS node_id FROM orders),
+edges AS (SELECT CAST(0 AS BIGINT) AS graph_id, o_orderkey AS edge_id, src, dst FROM step WHERE dst IS NOT NULL),
+starts AS (SELECT CAST(0 AS BIGINT) AS graph_id, min(o_custkey) AS start FROM orders)"""
+
 STMTS = """stmts AS (SELECT user_id AS graph_id, node_id, event_id AS stmt_id, row_number() OVER (PARTITION BY user_id, node_id ORDER BY event_id) AS pos,
   CASE WHEN event_type IN ('purchase', 'signup') THEN 'v' || x END AS w,
   CASE WHEN event_type = 'purchase' THEN 'v' || ((x + 1) % 6) WHEN event_type IN ('click', 'view') THEN 'v' || x END AS r

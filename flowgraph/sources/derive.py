@@ -77,6 +77,17 @@ def part_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, edges, lines.agg(F.min("l_partkey").alias("start")).select(zero, "start"))
 
 
+def customer_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """One large graph with branches, chains and circles: customers, an edge from each order's to the next order's of its day and priority; it starts at the least customer."""
+    orders = read(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_orderpriority", F.to_date("o_orderdate")).orderBy("o_orderkey")
+    step = orders.select("o_orderkey", F.col("o_custkey").alias("src"), F.lead("o_custkey").over(w).alias("dst"))
+    zero = F.lit(0).cast("long").alias("graph_id")
+    edges = step.where("dst is not null").select(zero, F.col("o_orderkey").alias("edge_id"), "src", "dst", F.lit("").alias("info"))
+    nodes = orders.select(zero, F.col("o_custkey").alias("node_id"), F.lit("").alias("info")).distinct()
+    return Graph(nodes, edges, orders.agg(F.min("o_custkey").alias("start")).select(zero, "start"))
+
+
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(graph_id, node_id, stmt_id, pos, writes, reads): one statement for each event in its node of the users' graphs."""
     rows = user_rows(spark, sf_dir)
