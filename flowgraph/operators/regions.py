@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgraph.model import NODE, Graph
+from flowgraph.operators.dfs import dfst
 from flowgraph.operators.fixpoint import Appended, closure, cut, double_pointers
 from flowgraph.operators.pergraph import depth_first, out_lists, per_graph
 
@@ -278,44 +279,56 @@ def hammock_orders(g: Graph) -> DataFrame:
     return per_graph(g, _orders, "node_id long, k int, l int")
 
 
-def _hammocks(nodes, edges, start):
-    """nodes: (id, k). See hammocks."""
-    number = dict(nodes)
-    order = sorted(number, key=number.__getitem__)
-    entered, _, _ = depth_first([start], out_lists(edges)) if start is not None else ([], [], {})
-    pre = {n: i for i, n in enumerate(entered)}
-    preds: dict[int, set[int]] = {}
-    succs: dict[int, set[int]] = {}
-    for e in edges:
-        if e[1] in number and e[2] in number:
-            preds.setdefault(e[2], set()).add(e[1])
-            succs.setdefault(e[1], set()).add(e[2])
-    n = len(order)
-    for begin, p in enumerate(order):
-        leaves, high_out, high_in = None, begin, begin
-        for k in range(begin, n):
-            w = order[k]
-            if w != p and any(number[x] < begin for x in preds.get(w, ())):
-                break
-            exits = {v for v in succs.get(w, ()) if pre[v] < pre[p]}
-            if len(exits | ({leaves} if leaves is not None else set())) > 1 or any(number[v] < begin for v in succs.get(w, set()) - exits):
-                break
-            leaves = next(iter(exits), leaves)
-            high_out = max([high_out, *(number[v] for v in succs.get(w, set()) - exits)])
-            if w != p:
-                high_in = max([high_in, *(number[x] for x in preds.get(w, ()))])
-            if leaves is not None:
-                if high_out <= k and high_in <= k and leaves not in preds.get(p, ()):
-                    yield begin, k, number[leaves]
-            elif k == n - 1:
-                yield begin, k, -1
-            elif high_out == k + 1 and high_in <= k and order[k + 1] not in preds.get(p, ()):
-                yield begin, k, k + 1
-
-
-def hammocks(g: Graph, order: DataFrame) -> DataFrame:
+def _first_below(rows: DataFrame, value: str, max_levels: int = 64) -> DataFrame:
+    """(graph_id, k, stop): for each place k the first place behind it whose value is less than k, or the number of places.
+
+    rows: (graph_id, k, value) for the places from 0 on; a null value is no less than any. The least values of stretches of
+    1, 2, 4, ... places are joined, then each place goes on by falling powers of two as long as nothing less is passed.
+    """
+    big = F.lit(1 << 60)
+    tables = [cut(rows.select("graph_id", "k", F.coalesce(F.col(value).cast("long"), big).alias("least")))]
+    sizes = cut(rows.groupBy("graph_id").agg(F.count("*").alias("n")))
+    longest = sizes.agg(F.max("n")).first()[0] or 0
+    while (1 << len(tables)) < longest and len(tables) < max_levels:
+        half = 1 << (len(tables) - 1)
+        then = tables[-1].select("graph_id", (F.col("k") - half).alias("k"), F.col("least").alias("more"))
+        tables.append(cut(tables[-1].join(then, ["graph_id", "k"], "left").select("graph_id", "k", F.least("least", F.coalesce("more", big)).alias("least"))))
+    now = rows.select("graph_id", "k", (F.col("k") + 1).alias("at"))
+    for j in reversed(range(len(tables))):
+        now = now.join(tables[j].withColumnRenamed("k", "at"), ["graph_id", "at"], "left")
+        now = now.select("graph_id", "k", F.when(F.coalesce("least", big) >= F.col("k"), F.col("at") + (1 << j)).otherwise(F.col("at")).alias("at"))
+    return now.join(sizes, "graph_id").select("graph_id", "k", F.least("at", "n").cast("int").alias("stop"), F.col("n").cast("int").alias("n"))
+
+
+def hammocks(g: Graph, order: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """(graph_id, first, last, exit): nodes K[first..last] that are entered at the first only and left to K[exit] only.
 
-    exit is -1 where nothing leaves. order: (graph_id, node_id, k).
+    exit is -1 where nothing leaves. order: (graph_id, node_id, k), tree: dfst(g), computed if not given. Joins and windows
+    alone: a stretch of K grows from each first node up to the node that is entered from before it, which is found by
+    doubling, so places that can be no part of a hammock make no rows. Running least and greatest ends of the stretch's edges
+    then tell where a second exit, or an edge back before the first node, ends it, and which stretches are hammocks.
     """
-    return per_graph(g, _hammocks, "first int, last int, exit int", node_columns=order.select(*NODE, "k"))
+    pre = (dfst(g) if tree is None else tree).select(*NODE, "pre")
+    place = cut(order.select(*NODE, "k").join(pre, NODE))
+    ends = g.edges.select("graph_id", "src", "dst").distinct()
+    ends = ends.join(place.select("graph_id", F.col("node_id").alias("src"), F.col("k").alias("a")), ["graph_id", "src"])
+    ends = cut(ends.join(place.select("graph_id", F.col("node_id").alias("dst"), F.col("k").alias("b"), F.col("pre").alias("b_pre")), ["graph_id", "dst"]).select("graph_id", "a", "b", "b_pre"))
+    into = ends.groupBy("graph_id", F.col("b").alias("k")).agg(F.min("a").alias("low_in"), F.max("a").alias("high_in"))
+    told = cut(place.select("graph_id", "k", "pre").join(into, ["graph_id", "k"], "left"))
+    reach = _first_below(told, "low_in").join(told.select("graph_id", "k", "pre"), ["graph_id", "k"])
+    steps = reach.select("graph_id", F.col("k").alias("first"), F.col("pre").alias("first_pre"), "n", F.explode(F.sequence("k", F.col("stop") - 1)).alias("k"))
+    leaves = F.col("b_pre") < F.col("first_pre")
+    out = steps.join(ends.withColumnRenamed("a", "k"), ["graph_id", "k"], "left").groupBy("graph_id", "first", "k", "n").agg(
+        F.min(F.when(leaves, F.col("b"))).alias("exit_low"), F.max(F.when(leaves, F.col("b"))).alias("exit_high"), F.min(F.when(~leaves, F.col("b"))).alias("low_out"), F.max(F.when(~leaves, F.col("b"))).alias("high_out")
+    )
+    out = out.join(told.select("graph_id", "k", F.col("high_in")), ["graph_id", "k"])
+    so_far = Window.partitionBy("graph_id", "first").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = F.when(F.col("k") > F.col("first"), F.col("high_in"))
+    run = out.select("graph_id", "first", F.col("k").alias("last"), "n", *[f(c).over(so_far).alias(c) for f, c in ((F.min, "exit_low"), (F.max, "exit_high"), (F.min, "low_out"), (F.max, "high_out"))], F.max(inner).over(so_far).alias("high_in"))
+    one = F.coalesce(F.col("exit_low") == F.col("exit_high"), F.lit(True)) & F.coalesce(F.col("low_out") >= F.col("first"), F.lit(True))
+    high_out, high_in = (F.greatest("first", F.coalesce(c, "first")) for c in ("high_out", "high_in"))
+    closed = high_in <= F.col("last")
+    to = F.when(F.col("exit_low").isNotNull(), F.when((high_out <= F.col("last")) & closed, F.col("exit_low")))
+    to = to.when(F.col("last") == F.col("n") - 1, -1).when((high_out == F.col("last") + 1) & closed, F.col("last") + 1)
+    found = run.where(one).select("graph_id", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), to.cast("int").alias("exit")).where("exit is not null")
+    return found.join(ends.select("graph_id", F.col("a").alias("exit"), F.col("b").alias("first")), ["graph_id", "exit", "first"], "left_anti").select("graph_id", "first", "last", "exit")

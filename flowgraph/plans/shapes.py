@@ -132,8 +132,8 @@ cand AS (SELECT *, CASE WHEN leaves IS NOT NULL THEN CASE WHEN high_out <= last
 FROM cand c WHERE exit IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ends e WHERE e.graph_id = c.graph_id AND e.b = c.first AND e.a = c.exit)"""))
 def h3_hammocks(spark, sf_dir):
     """All hammocks of each graph."""
-    g = derive.day_graph(spark, sf_dir)
-    return regions.hammocks(g, dfs.cut(regions.hammock_orders(g)))
+    g, tree = _tree(spark, sf_dir)
+    return regions.hammocks(g, dfs.cut(regions.hammock_orders(g)), tree)
 
 
 _CHAIN = """chain AS (SELECT e.graph_id, edge_id, src, dst FROM edges e
