@@ -28,18 +28,126 @@ def reference_pairs(refs: DataFrame, first: str = "w", second: str = "r") -> Dat
     return pairs.where("ref_id_1 < ref_id_2") if first == second else pairs
 
 
+def reference_classes(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References that are alike but for their statement, as one row: classes and members.
+
+    classes: (loop_id, array, kind, coeffs, free, class_id, n): the least ref_id of n references of one loop, array and kind
+    with equal coefficients and free part. members: (loop_id, ref_id, class_id). Pairs of classes stand for n_1 * n_2
+    pairs of references, so an array that is referred to over and over in one way makes few rows.
+    """
+    own = ["loop_id", "array", "kind", "free", "__coeffs"]
+    rows = refs.withColumn("__coeffs", F.array_sort(F.map_entries("coeffs")))
+    classes = cut(rows.groupBy(*own).agg(F.min("ref_id").alias("class_id"), F.count("*").alias("n")))
+    same = F.lit(True)
+    for c in own:
+        same = same & rows[c].eqNullSafe(classes[c])
+    members = rows.join(classes, same).select(rows["loop_id"], "ref_id", "class_id")
+    return classes.select("loop_id", "array", "kind", F.map_from_entries("__coeffs").alias("coeffs"), "free", "class_id", "n"), members
+
+
+def class_pairs(classes: DataFrame, first: str = "w", second: str = "r") -> DataFrame:
+    """Pairs of classes of one loop and array, of the given kinds, and n, the pairs of references they stand for.
+
+    Of one kind, a class also meets itself if it has two references or more; of two, the smaller class_id comes first.
+    """
+    own = ["kind", "coeffs", "free", "class_id", "n"]
+    a, b = (classes.where(F.col("kind") == kind).select("loop_id", "array", *[F.col(c).alias(f"{c}_{i}") for c in own]) for i, kind in ((1, first), (2, second)))
+    pairs = a.join(b, ["loop_id", "array"])
+    if first == second:
+        pairs = pairs.where("class_id_1 < class_id_2 or (class_id_1 = class_id_2 and n_1 > 1)")
+    n = F.when(F.lit(first == second) & (F.col("class_id_1") == F.col("class_id_2")), (F.col("n_1") * (F.col("n_1") - 1) / 2).cast("long")).otherwise(F.col("n_1") * F.col("n_2"))
+    return pairs.withColumn("n", n).drop("n_1", "n_2")
+
+
+def carried_test(pairs: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """pairs with possible, exact, distances and direction: whether two references, each in an iteration of its own, meet.
+
+    pairs: loop_id, coeffs_1, coeffs_2 (maps from variables to longs), free_1, free_2. bounds: (loop_id, ivar, level, lower,
+    upper, step) of the variables around the references, the outermost of level 0; without it variables are unbounded and
+    step by one. Iterations are counted from 0 at the lower bound.
+
+    The first reference in iteration t and the second in iteration u meet where coeffs_1 * t + free_1 = coeffs_2 * u + free_2.
+    Needed: the divisor of all coefficients divides the difference of the free parts, and, where bounds are known, the
+    difference lies between the least and the greatest value of the left side less the right one. Where only one
+    variable counts and has the same coefficient on both sides, u - t is its distance, a map of the variables' distances
+    has it (null for the others), and the answer is exact. direction: < for a positive distance (the first reference's
+    iteration comes first), = for none, > for a negative one, * where it is not known. An unknown coefficient or free
+    part: possible, not exact.
+    """
+    long, zero = lambda x: x.cast("long"), F.lit(0).cast("long")
+    if bounds is None:
+        pairs = pairs.withColumn("__bounds", F.lit(None).cast("map<string,struct<level:int,lower:bigint,upper:bigint,step:bigint>>"))
+    else:
+        told = F.struct(F.col("level").cast("int").alias("level"), long(F.col("lower")).alias("lower"), long(F.col("upper")).alias("upper"), long(F.col("step")).alias("step"))
+        pairs = pairs.join(bounds.groupBy("loop_id").agg(F.map_from_entries(F.collect_list(F.struct("ivar", told))).alias("__bounds")), "loop_id", "left")
+
+    def variable(e: Column) -> Column:
+        at = F.col("__bounds")[e["key"]]
+        step, lower = F.coalesce(at["step"], F.lit(1).cast("long")), F.coalesce(at["lower"], zero)
+        a, b = F.coalesce(e["value"]["a"], zero), F.coalesce(e["value"]["b"], zero)
+        most = F.when((at["upper"] - at["lower"]) * at["step"] < 0, -1).otherwise(F.call_function("div", at["upper"] - at["lower"], at["step"]))  # -1: no iteration
+        return F.struct(F.coalesce(at["level"], F.lit(0)).alias("level"), e["key"].alias("ivar"), (a * step).alias("a"), (b * step).alias("b"), ((b - a) * lower).alias("shift"), most.alias("most"))
+
+    merged = F.map_zip_with("coeffs_1", "coeffs_2", lambda _, a, b: F.struct(a.alias("a"), b.alias("b")))
+    known = ~F.exists(F.map_values("coeffs_1"), F.isnull) & ~F.exists(F.map_values("coeffs_2"), F.isnull) & F.col("free_1").isNotNull() & F.col("free_2").isNotNull()
+    pairs = pairs.withColumns({"__known": known, "__vars": F.array_sort(F.transform(F.map_entries(merged), variable))})
+    pairs = pairs.withColumn("__need", F.col("free_2") - F.col("free_1") + F.aggregate("__vars", zero, lambda s, v: s + v["shift"]))
+    pairs = pairs.withColumn("__divisor", greatest_common_divisor(F.flatten(F.transform("__vars", lambda v: F.array(v["a"], v["b"])))))
+    pairs = pairs.withColumn("__used", F.filter("__vars", lambda v: (v["a"] != 0) | (v["b"] != 0)))
+    need, divisor, used = F.col("__need"), F.col("__divisor"), F.col("__used")
+    fits = F.when(divisor == 0, need == 0).otherwise(need % F.when(divisor == 0, 1).otherwise(divisor) == 0)
+    side = lambda v, f, g: f(zero, v["a"] * v["most"]) - g(zero, v["b"] * v["most"])
+    bounded = ~F.exists("__vars", lambda v: v["most"].isNull())
+    low = F.aggregate("__vars", zero, lambda s, v: s + side(v, F.least, F.greatest))
+    high = F.aggregate("__vars", zero, lambda s, v: s + side(v, F.greatest, F.least))
+    inside = F.when(bounded, (need >= low) & (need <= high)).otherwise(True) & ~F.exists("__vars", lambda v: F.coalesce(v["most"] < 0, F.lit(False)))
+    only = F.get(used, F.lit(0))
+    single = F.coalesce((F.size(used) == 1) & (only["a"] == only["b"]), F.lit(False))
+    pairs = pairs.withColumn("possible", F.when(F.col("__known"), fits & inside).otherwise(True))
+    distance = F.when(F.col("__known") & F.col("possible") & single, F.call_function("div", -need, F.when(single, F.get(used, F.lit(0))["a"]).otherwise(1)))
+    pairs = pairs.withColumn("__distance", distance)
+    names = F.transform("__vars", lambda v: v["ivar"])
+    values = F.transform("__vars", lambda v: F.when(v["ivar"] == F.get(used, F.lit(0))["ivar"], F.col("__distance")))
+    sign = F.when(F.col("__distance") > 0, "<").when(F.col("__distance") == 0, "=").when(F.col("__distance") < 0, ">").otherwise("*")
+    exact = F.col("__known") & (~F.col("possible") | single | (F.size(used) == 0))
+    pairs = pairs.withColumns({"exact": exact, "distances": F.map_from_arrays(names, values), "direction": F.when(F.col("possible"), sign)})
+    return pairs.drop("__bounds", "__known", "__vars", "__need", "__divisor", "__used", "__distance")
+
+
+def carried_dependences(refs: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """(loop_id, from_class, to_class, type, direction, distance, n): dependences between classes of references over all iterations.
+
+    They go from the reference of the earlier iteration to that of the later one, which distance (a map, as in
+    carried_test, but not negative) counts; where the direction is = or *, from the first reference of the pair. n pairs
+    of references.
+    """
+    classes, _ = reference_classes(refs)
+    found = None
+    for first, second in (("w", "r"), ("w", "w"), ("r", "r")):
+        pairs = carried_test(class_pairs(classes, first, second), bounds).where("possible")
+        back = F.col("direction") == ">"
+        pairs = pairs.withColumn("turned", F.when(back, F.transform_values("distances", lambda _, d: -d)).otherwise(F.col("distances")))
+        rows = pairs.select(
+            "loop_id", F.when(back, F.col("class_id_2")).otherwise(F.col("class_id_1")).alias("from_class"), F.when(back, F.col("class_id_1")).otherwise(F.col("class_id_2")).alias("to_class"),
+            F.when(back, dependence_type(F.lit(second), F.lit(first))).otherwise(dependence_type(F.lit(first), F.lit(second))).alias("type"), F.when(back, "<").otherwise(F.col("direction")).alias("direction"), F.col("turned").alias("distance"), "n",
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def greatest_common_divisor(values: Column) -> Column:
-    """Of an array of longs; 0 if all are 0. Euclid's steps, 92 of which are enough for any long."""
+    """Of an array of longs; 0 if all are 0. As many of Euclid's steps as the smaller value may need."""
     def pair(a: Column, b: Column) -> Column:
         def step(s: Column, _: Column) -> Column:
             return F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, 1).otherwise(s["b"])).alias("b")))
         zero = F.lit(0).cast("long")
-        return F.aggregate(F.sequence(F.lit(1), F.when((a == zero) | (b == zero), 1).otherwise(92)), F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")), step, lambda s: s["a"])
+        most = F.ceil(F.log10(F.least(a, b)) * 4.8 + 2).cast("int")
+        return F.aggregate(F.sequence(F.lit(1), F.when((a == zero) | (b == zero), 1).otherwise(most)), F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")), step, lambda s: s["a"])
     return F.aggregate(values, F.lit(0).cast("long"), lambda x, v: pair(x, F.abs(v)))
 
 
 def gcd_test(pairs: DataFrame) -> DataFrame:
-    """pairs with possible, exact and distance, from coeffs_1, coeffs_2 (maps from variables to longs) and free_1, free_2.
+    """pairs with possible, exact and distance, for two references in the same iteration (for different ones see carried_test), from coeffs_1, coeffs_2 (maps from variables to longs) and free_1, free_2.
 
     A dependence needs the divisor of the coefficients' differences to divide the difference of the free parts. All
     differences 0: the free parts must be equal. An unknown coefficient or free part: possible, not exact. distance
@@ -53,11 +161,11 @@ def gcd_test(pairs: DataFrame) -> DataFrame:
     free = F.col("free_2") - F.col("free_1")
     fits = F.when(divisor == 0, free == 0).otherwise(free % F.when(divisor == 0, 1).otherwise(divisor) == 0)
     used = F.filter(both, lambda x: (x["a"] != 0) | (x["b"] != 0))
-    single = (F.size(used) == 1) & (used[0]["a"] == used[0]["b"]) & (free % F.when(used[0]["a"] == 0, 1).otherwise(used[0]["a"]) == 0)
+    single = (F.size(used) == 1) & (F.get(used, F.lit(0))["a"] == F.get(used, F.lit(0))["b"]) & (free % F.when(F.get(used, F.lit(0))["a"] == 0, 1).otherwise(F.get(used, F.lit(0))["a"]) == 0)
     return pairs.withColumns({
         "possible": F.when(known, fits).otherwise(True),
         "exact": known,
-        "distance": F.when(known & fits & single, (-free / used[0]["a"]).cast("long")),
+        "distance": F.when(known & fits & single, (-free / F.get(used, F.lit(0))["a"]).cast("long")),
     })
 
 
@@ -67,7 +175,9 @@ def dependence_type(kind_1: Column, kind_2: Column) -> Column:
 
 
 def dependence_graph(refs: DataFrame) -> DataFrame:
-    """(loop_id, from_stmt, to_stmt, type, n): dependences between statements, from the earlier one; n pairs of references.
+    """(loop_id, from_stmt, to_stmt, type, n): dependences between statements within an iteration, from the earlier one; n pairs of references.
+
+    Dependences between iterations are in carried_dependences.
 
     In one statement reads come before writes.
     """

@@ -171,6 +171,48 @@ def e5_iteration_points(spark, sf_dir):
     return depend.next_point(depend.iteration_points(loops), loops)
 
 
+_CLASSES = _REFS + """,
+classes AS (SELECT loop_id, arr, kind, coeff, free, min(ref_id) AS class_id, count(*) AS n FROM refs GROUP BY ALL)"""
+
+
+@query("e2_class_pairs", sql.query(_CLASSES, select="SELECT a.loop_id, a.class_id AS class_id_1, b.class_id AS class_id_2, a.n * b.n AS n FROM classes a JOIN classes b ON b.loop_id = a.loop_id AND b.arr = a.arr WHERE a.kind = 'w' AND b.kind = 'r'"))
+def e2_class_pairs(spark, sf_dir):
+    """Pairs of classes of equal references, with the pairs they stand for."""
+    return depend.class_pairs(depend.reference_classes(_refs(spark, sf_dir))[0]).select("loop_id", "class_id_1", "class_id_2", "n")
+
+
+@query("e2_class_members", sql.query(_CLASSES, select="SELECT r.loop_id, r.ref_id, c.class_id FROM refs r JOIN classes c USING (loop_id, arr, kind, coeff, free)"))
+def e2_class_members(spark, sf_dir):
+    return depend.reference_classes(_refs(spark, sf_dir))[1]
+
+
+#: Classes of references in iterations from the least to the greatest quantity of the order by threes, and where two of them meet.
+_CARRIED = _CLASSES + """,
+b AS (SELECT l_orderkey AS loop_id, min(CAST(l_quantity AS BIGINT)) AS lo, max(CAST(l_quantity AS BIGINT)) AS hi FROM lineitem GROUP BY ALL),
+met AS (SELECT x.loop_id, x.class_id AS c1, y.class_id AS c2, x.kind AS k1, y.kind AS k2, CASE WHEN x.class_id = y.class_id THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS n, 3 * x.coeff AS a, 3 * y.coeff AS b, (hi - lo) // 3 AS t, y.free + y.coeff * lo - x.free - x.coeff * lo AS need
+  FROM classes x JOIN classes y ON y.loop_id = x.loop_id AND y.arr = x.arr JOIN b ON b.loop_id = x.loop_id
+  WHERE (x.kind = 'w' AND y.kind = 'r') OR (x.kind = y.kind AND (x.class_id < y.class_id OR (x.class_id = y.class_id AND x.n > 1)))),
+told AS (SELECT *, need % gcd(a, b) = 0 AND need BETWEEN -b * t AND a * t AS possible, CASE WHEN a = b THEN -need // a END AS d FROM met)"""
+
+
+@query("e3_carried", sql.query(_CARRIED, select="""SELECT loop_id, c1 AS class_id_1, c2 AS class_id_2, possible, NOT possible OR a = b AS exact, CASE WHEN possible THEN d END AS distance,
+  CASE WHEN possible THEN CASE WHEN d > 0 THEN '<' WHEN d = 0 THEN '=' WHEN d < 0 THEN '>' ELSE '*' END END AS direction FROM told WHERE k1 = 'w' AND k2 = 'r'"""))
+def e3_carried(spark, sf_dir):
+    """Whether writes and reads of different iterations meet, and how many iterations apart."""
+    pairs = depend.class_pairs(depend.reference_classes(_refs(spark, sf_dir))[0])
+    found = depend.carried_test(pairs, _bounds(spark, sf_dir).withColumns({"ivar": F.lit("i"), "level": F.lit(0)}))
+    return found.select("loop_id", "class_id_1", "class_id_2", "possible", "exact", F.col("distances")["i"].alias("distance"), "direction")
+
+
+@query("e4_carried", sql.query(_CARRIED, select="""SELECT loop_id, CASE WHEN d < 0 THEN c2 ELSE c1 END AS from_class, CASE WHEN d < 0 THEN c1 ELSE c2 END AS to_class,
+  CASE CASE WHEN d < 0 THEN k2 || k1 ELSE k1 || k2 END WHEN 'wr' THEN 'true' WHEN 'rw' THEN 'anti' WHEN 'ww' THEN 'output' ELSE 'input' END AS type,
+  CASE WHEN d = 0 THEN '=' WHEN d IS NULL THEN '*' ELSE '<' END AS direction, abs(d) AS distance, n FROM told WHERE possible"""))
+def e4_carried(spark, sf_dir):
+    """Dependences of all kinds between iterations."""
+    found = depend.carried_dependences(_refs(spark, sf_dir), _bounds(spark, sf_dir).withColumns({"ivar": F.lit("i"), "level": F.lit(0)}))
+    return found.withColumn("distance", F.col("distance")["i"])
+
+
 def _nest(spark, sf_dir):
     """A nest of two loops for each order: by its lines' numbers, and inside by twos from the number of lines down."""
     lines = derive.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("o")).agg(F.min("l_linenumber").cast("long").alias("a"), F.max("l_linenumber").cast("long").alias("b"), F.count("*").alias("n"))
