@@ -31,11 +31,11 @@ def subregions(regions: DataFrame, region_edges: DataFrame) -> DataFrame:
 
 def allocate_blocks(types: DataFrame, stride: int = 1_000_000) -> DataFrame:
     """A block for each node of the owners' type trees: types (owner, region_id, alloc, path, kind), path an array of places
-    from the owner's root, which has the empty one. Ids are owner * stride + the place in path order; a tree must be
-    smaller than stride."""
+    from the owner's root, which has the empty one. Ids are owner * stride + the place in path order; where a tree has
+    more nodes than stride, all owners take that many instead."""
+    largest = types.groupBy("owner").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     ids = types.withColumn("__nth", F.row_number().over(Window.partitionBy("owner").orderBy("path")).cast("long") - 1)
-    fits = F.when(F.col("__nth") < stride, F.col("owner") * stride + F.col("__nth")).otherwise(F.raise_error(F.lit("a type tree is larger than the stride")).cast("long"))
-    ids = ids.withColumn("block_id", fits)
+    ids = ids.withColumn("block_id", F.col("owner") * max(stride, largest) + F.col("__nth"))
     above = ids.select("owner", F.col("path").alias("__up"), F.col("block_id").alias("parent_block"))
     rows = ids.withColumn("__up", F.when(F.size("path") > 0, F.slice("path", 1, F.size("path") - 1))).join(above, ["owner", "__up"], "left")
     return rows.select("block_id", "region_id", "kind", "alloc", "parent_block", F.when(F.size("path") > 0, F.element_at("path", -1)).alias("pos"))
@@ -57,13 +57,47 @@ def expr_parts(exprs: DataFrame) -> DataFrame:
     return closure(exprs.select("expr_id", F.col("expr_id").alias("part")), lambda new: new.join(args, "part").select("expr_id", F.col("__arg").alias("part")))
 
 
+def _next_block(blocks: DataFrame) -> int:
+    """The first id behind those of all blocks."""
+    last = blocks.agg(F.max("block_id")).first()[0]
+    return max(-1 if last is None else last, -1) + 1
+
+
+def allocation_sites(exprs: DataFrame, uses: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """exprs and blocks with a dynamic block for each `new` expression that a graph uses, itself or inside another.
+
+    An expression of op new allocates in its region_id wherever it is evaluated, so all that it ever gives is one block: it
+    becomes a block expression. uses: (graph_id, expr_id). Ids of blocks go on after the greatest by the expression's id,
+    which must not be negative, so a graph's sites need no numbering.
+    """
+    first = _lit(_next_block(blocks))
+    site = F.col("op") == "new"
+    used = uses.select("graph_id", "expr_id").join(expr_parts(exprs), "expr_id").select("graph_id", F.col("part").alias("expr_id")).distinct()
+    none = F.lit(None)
+    new = used.join(exprs.where(site), "expr_id").select("graph_id", (first + F.col("expr_id")).alias("block_id"), "region_id", F.lit("simple").alias("kind"), F.lit("dynamic").alias("alloc"), none.cast("long").alias("parent_block"), none.cast("int").alias("pos"))
+    told = exprs.withColumns({"block_id": F.when(site, first + F.col("expr_id")).otherwise(F.col("block_id")), "op": F.when(site, "block").otherwise(F.col("op"))})
+    return told, blocks.select(new.columns).unionByName(new)
+
+
+def call_blocks(stmts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """blocks with a pseudo block for each graph and region that a call of unknown code names: what it may allocate there.
+
+    stmts: graph_id, kind (assign or black), regions. Ids go on after the greatest by the region's id, which must not be
+    negative. A pseudo block is dynamic and its own part, and as a block of its region it is among what calls lead to.
+    """
+    first, none = _lit(_next_block(blocks)), F.lit(None)
+    named = stmts.where("kind = 'black'").select("graph_id", F.explode("regions").alias("region_id")).distinct()
+    new = named.select("graph_id", (first + F.col("region_id")).alias("block_id"), "region_id", F.lit("pseudo").alias("kind"), F.lit("dynamic").alias("alloc"), none.cast("long").alias("parent_block"), none.cast("int").alias("pos"))
+    return blocks.select(new.columns).unionByName(new)
+
+
 def eval_expr(asked: DataFrame, exprs: DataFrame, state: DataFrame, blocks: DataFrame, inside: DataFrame, parts_of: DataFrame | None = None) -> DataFrame:
     """(graph_id, point, expr_id, value) of the asked expressions (graph_id, point, expr_id) in a state.
 
     exprs: expr_id, level, op, arg1, arg2, block_id, region_id, field; arguments have lower levels. op: block; some (all
     blocks of a region and those inside it); sub (the part at `field` of the blocks that arg1 gives; a pseudo block is
     its own part); value (what they hold); region (all blocks of the regions of arg1's blocks and inside them); oneof;
-    undef; any. inside: (super, sub) of subregions. parts_of: expr_parts, where they are known already.
+    undef; any; new ones are made blocks by allocation_sites before. inside: (super, sub) of subregions. parts_of: expr_parts, where they are known already.
     """
     need = asked.select(*POINT, "expr_id").join(parts_of if parts_of is not None else expr_parts(exprs), "expr_id")
     need = cut(need.select(*POINT, F.col("part").alias("expr_id")).distinct().join(exprs, "expr_id"))
@@ -178,7 +212,7 @@ def points_to_direct(g: Graph, stmts: DataFrame, slots: DataFrame) -> DataFrame:
     return closure(seed, step)
 
 
-def points_to(g: Graph, stmts: DataFrame, exprs: DataFrame, blocks: DataFrame, inside: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def points_to(g: Graph, stmts: DataFrame, exprs: DataFrame, blocks: DataFrame, inside: DataFrame, max_rounds: int = 1_000_000) -> DataFrame:
     """(graph_id, point, block_id, value): what each block may hold behind each point, for assignments and calls of any kind.
 
     stmts: graph_id, node_id, stmt_id, pos, kind (assign or black), lhs, rhs, regions, args (expression and region ids).

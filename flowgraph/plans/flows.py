@@ -372,6 +372,32 @@ def x4_eval_ops(spark, sf_dir):
     return pointsto.eval_expr(asked, exprs, state, blocks, inside).select("graph_id", (F.col("expr_id") % 10).cast("int").alias("k"), "value")
 
 
+@query("x4_alloc", sql.query(_ORDER_STATE, "top AS (SELECT max(block_id) + 1 AS first FROM b)", select="""SELECT g AS graph_id, 0 AS k, first + g * 10 AS value FROM st, top WHERE pos = 0
+UNION ALL SELECT g, 2, first + g * 10 FROM st, top WHERE pos = 0 UNION ALL SELECT g, 2, g * 1000000 FROM st WHERE pos = 0"""))
+def x4_alloc(spark, sf_dir):
+    """For each order: what an allocation gives, and one of it and the order's block."""
+    blocks = pointsto.cut(_order_blocks(spark, sf_dir))
+    roots = blocks.where("parent_block is null").select("graph_id", "block_id")
+    none, zero, base = F.lit(None).cast("long"), F.lit(0).cast("long"), F.col("graph_id") * 10
+    node = lambda k, level, op, a=none, b=none, block=none, region=none: roots.select((base + k).alias("expr_id"), F.lit(level).alias("level"), F.lit(op).alias("op"), a.alias("arg1"), b.alias("arg2"), block.alias("block_id"), region.alias("region_id"), F.lit(None).cast("int").alias("field"))
+    exprs = node(0, 0, "new", region=zero).union(node(1, 0, "block", block=F.col("block_id"))).union(node(2, 1, "oneof", base, base + 1))
+    uses = roots.select("graph_id", (base + 2).alias("expr_id"))
+    exprs, blocks = pointsto.allocation_sites(exprs, uses, blocks)
+    asked = roots.select("graph_id", zero.alias("point"), F.explode(F.array(base, base + 2)).alias("expr_id"))
+    empty = asked.select("graph_id", "point", F.col("expr_id").alias("block_id"), F.col("expr_id").alias("value")).where("false")
+    inside = spark.range(1).select(F.col("id").alias("super"), F.col("id").alias("sub"))
+    found = pointsto.eval_expr(asked, exprs, empty, blocks, inside)
+    return found.select("graph_id", (F.col("expr_id") % 10).cast("int").alias("k"), "value")
+
+
+@query("x6_call_blocks", sql.query(_ORDER_STATE, "top AS (SELECT max(block_id) + 1 AS first FROM b)", select="""SELECT block_id // 1000000 AS graph_id, block_id, CAST(0 AS BIGINT) AS region_id, kind FROM b
+UNION ALL SELECT DISTINCT l_orderkey, first + l_suppkey % 3, l_suppkey % 3, 'pseudo' FROM lineitem, top WHERE l_returnflag = 'R'"""))
+def x6_call_blocks(spark, sf_dir):
+    """The orders' blocks and those that calls, one for each returned line, may allocate in the regions of suppliers."""
+    calls = derive.read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("graph_id"), F.lit("black").alias("kind"), F.array((F.col("l_suppkey") % 3).cast("long")).alias("regions"))
+    return pointsto.call_blocks(calls, pointsto.cut(_order_blocks(spark, sf_dir))).select("graph_id", "block_id", "region_id", "kind")
+
+
 @query("x5_assign_any", sql.query(_ORDER_STATE, select="""SELECT g AS graph_id, b AS block_id, v AS value FROM st WHERE g % 3 = 0 OR (g % 3 = 2 AND (pos > 0 OR g % 2 = 1))
 UNION SELECT g, b, g * 1000000 FROM st WHERE g % 3 = 0 OR (g % 3 = 2 AND pos = 0) UNION SELECT g, -2, -2 FROM st WHERE g % 3 = 1"""))
 def x5_assign_any(spark, sf_dir):
