@@ -87,12 +87,13 @@ def _matched(nodes, edges, start):
             yield (ids[pair],)
 
 
-def path_cover_edges(g: Graph, weight: str | None = None) -> DataFrame:
+def path_cover_edges(g: Graph, weight: str | None = None, tree: DataFrame | None = None) -> DataFrame:
     """(graph_id, edge_id): edges of a minimum path covering: no back edges, at most one out of and one into each node.
 
     Without weights as many edges as can be, so the fewest paths; with a weight column, of the greatest total weight.
+    tree: dfst(g), computed if not given.
     """
-    sorts = edge_sorts(g, dfst(g)).where("coalesce(sort, '') <> 'back'")
+    sorts = edge_sorts(g, dfst(g) if tree is None else tree).where("coalesce(sort, '') <> 'back'")
     edges = g.edges.join(sorts.select("graph_id", "edge_id"), ["graph_id", "edge_id"], "left_semi")
     edges = edges.select("graph_id", "src", "dst", F.struct(F.col(weight).cast("long").alias("__weight") if weight else F.lit(1).cast("long").alias("__weight"), "edge_id").alias("best"))
     edges = edges.where("best.__weight > 0").groupBy("graph_id", "src", "dst").agg(F.max("best").alias("best"))  # one for parallel edges

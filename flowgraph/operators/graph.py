@@ -103,13 +103,14 @@ def single_exit(g: Graph, info: str = "exit") -> Graph:
 
 def order_reverse(order: DataFrame) -> DataFrame:
     """(graph_id, node_id, number) with the numbers of each graph mirrored between its first and last."""
-    w = Window.partitionBy("graph_id")
-    return order.select(*NODE, (F.min("number").over(w) + F.max("number").over(w) - F.col("number")).alias("number"))
+    ends = order.groupBy("graph_id").agg((F.min("number") + F.max("number")).alias("__both"))
+    return order.join(ends, "graph_id").select(*NODE, (F.col("__both") - F.col("number")).alias("number"))
 
 
 def order_normalize(order: DataFrame) -> DataFrame:
     """With the numbers of each graph moved to begin at 0."""
-    return order.select(*NODE, (F.col("number") - F.min("number").over(Window.partitionBy("graph_id"))).alias("number"))
+    first = order.groupBy("graph_id").agg(F.min("number").alias("__first"))
+    return order.join(first, "graph_id").select(*NODE, (F.col("number") - F.col("__first")).alias("number"))
 
 
 def order_lookup(order: DataFrame, numbers: DataFrame) -> DataFrame:

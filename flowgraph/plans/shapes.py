@@ -197,11 +197,11 @@ def _cover_sql(weight: str) -> str:
   JOIN tree d ON d.graph_id = e.graph_id AND d.node_id = e.dst WHERE s.pre < d.pre OR d.rpo > s.rpo GROUP BY e.graph_id, e.src, e.dst)""")
 
 
-def _covered(g, covered, weight):
+def _covered(g, tree, covered, weight):
     """For each graph: how many edges cover it, their weight, and what breaks the rules: two edges on one side of a node, back edges."""
     edges = g.edges.join(covered, ["graph_id", "edge_id"], "left_semi")
     twice = edges.groupBy("graph_id", "src").count().where("count > 1").select("graph_id").union(edges.groupBy("graph_id", "dst").count().where("count > 1").select("graph_id"))
-    back = dfs.edge_sorts(g, dfs.dfst(g)).where("sort = 'back'").join(covered, ["graph_id", "edge_id"], "left_semi").select("graph_id")
+    back = dfs.edge_sorts(g, tree).where("sort = 'back'").join(covered, ["graph_id", "edge_id"], "left_semi").select("graph_id")
     wrong = twice.union(back).groupBy("graph_id").agg(F.count("*").alias("wrong"))
     size = edges.groupBy("graph_id").agg(F.count("*").alias("covering"), F.sum(weight).alias("weight"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -214,17 +214,17 @@ _COVERS = "SELECT n.graph_id, {columns}, CAST(0 AS BIGINT) AS wrong FROM (SELECT
 @query("p1_path_cover", sql.query(sql.DAY, sql.dfs(), _cover_sql("1"), select=_COVERS.format(columns="CAST(coalesce(total, 0) AS BIGINT) AS covering, CAST(n_nodes - coalesce(total, 0) AS BIGINT) AS n_paths")))
 def p1_path_cover(spark, sf_dir):
     """Covering edges and paths of each graph: as many and as few as can be."""
-    g = derive.day_graph(spark, sf_dir)
-    found = _covered(g, dfs.cut(cover.path_cover_edges(g)), F.lit(1))
+    g, tree = _tree(spark, sf_dir)
+    found = _covered(g, tree, dfs.cut(cover.path_cover_edges(g, tree=tree)), F.lit(1))
     return found.select("graph_id", "covering", (F.col("n_nodes") - F.col("covering")).alias("n_paths"), "wrong")
 
 
 @query("p4_weighted_cover", sql.query(sql.DAY, sql.dfs(), _cover_sql("edge_id % 5 + 1"), select=_COVERS.format(columns="CAST(coalesce(total, 0) AS BIGINT) AS weight")))
 def p4_weighted_cover(spark, sf_dir):
     """The greatest total weight of a covering, by weights from edge ids."""
-    g = derive.day_graph(spark, sf_dir)
+    g, tree = _tree(spark, sf_dir)
     g = g.with_(edges=g.edges.withColumn("weight", F.col("edge_id") % 5 + 1))
-    return _covered(g, dfs.cut(cover.path_cover_edges(g, "weight")), F.col("weight")).select("graph_id", "weight", "wrong")
+    return _covered(g, tree, dfs.cut(cover.path_cover_edges(g, "weight", tree)), F.col("weight")).select("graph_id", "weight", "wrong")
 
 
 #: A covering that both engines can tell: of the edges that go down in reverse postorder, each node's last one out, and of those each node's last one in.
