@@ -268,6 +268,17 @@ def _orders(nodes, edges, start):
         yield n, k[n], lnum[n]
 
 
+def k_order(g: Graph, tree: DataFrame) -> DataFrame:
+    """(graph_id, node_id, k) of the reached nodes, as hammock_orders has it, by joins: tree is dfst(g).
+
+    Regions are nested or apart, so K sorts nodes by the reverse postorder numbers of all headers around them, the
+    outermost first, and their own. A node's numbers are as many as regions are nested around it.
+    """
+    number = tree.select("graph_id", F.col("node_id").alias("header"), "rpo")
+    around = scs(g, tree).join(number, ["graph_id", "header"]).groupBy(*NODE).agg(F.sort_array(F.collect_list("rpo")).alias("around"))
+    return around.select(*NODE, (F.row_number().over(Window.partitionBy("graph_id").orderBy("around")) - 1).alias("k"))
+
+
 def hammock_orders(g: Graph) -> DataFrame:
     """(graph_id, node_id, k, l) of the reached nodes.
 

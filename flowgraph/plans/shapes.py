@@ -113,6 +113,12 @@ def h1_h2_orders(spark, sf_dir):
     return both.select("graph_id", "node_id", F.col("k").cast("long").alias("k"), "l_span", F.when(F.col("widest") == 1, F.col("l").cast("long")).otherwise(-1).alias("l_alone"))
 
 
+@query("h1_k_by_joins", sql.query(sql.USER_DROP, sql.dfs(), _K, select="SELECT graph_id, node_id, CAST(k AS BIGINT) AS k FROM korder"))
+def h1_k_by_joins(spark, sf_dir):
+    """K of each reached node from the regions around it."""
+    return regions.k_order(*_tree(spark, sf_dir, derive.user_drop_graph(spark, sf_dir))).withColumn("k", F.col("k").cast("long"))
+
+
 #: Every stretch of K, with what its edges do; a hammock is entered at its first node only and left to one node only.
 _HAMMOCKS = """node AS (SELECT o.graph_id, o.node_id, o.k, t.pre FROM korder o JOIN tree t ON t.graph_id = o.graph_id AND t.node_id = o.node_id),
 ends AS (SELECT DISTINCT e.graph_id, a.k AS a, b.k AS b, b.pre FROM edges e JOIN node a ON a.graph_id = e.graph_id AND a.node_id = e.src JOIN node b ON b.graph_id = e.graph_id AND b.node_id = e.dst),

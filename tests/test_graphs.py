@@ -75,6 +75,7 @@ def test_hammocks(spark):
     g = build(spark, *T8)
     order = regions.hammock_orders(g)
     assert {r.node_id: (r.k, r.l) for r in order.collect()} == {n: (k, k) for n, k in {0: 0, 1: 1, 7: 2, 2: 3, 6: 4, 3: 5, 5: 6, 4: 7}.items()}
+    assert {r.node_id: r.k for r in regions.k_order(g, dfs.dfst(g)).collect()} == {r.node_id: r.k for r in order.collect()}
     found = {(r["first"], r["last"], r["exit"]) for r in regions.hammocks(g, order).collect()}
     assert found == {(0, 0, 1), (0, 2, 3), (0, 4, 5), (0, 6, 7), (0, 7, -1), (1, 2, 3), (1, 4, 5), (1, 6, 7), (1, 7, -1), (3, 4, 5), (3, 6, 7), (3, 7, -1), (5, 6, 7), (5, 7, -1), (7, 7, -1)}
 
