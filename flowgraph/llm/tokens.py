@@ -45,11 +45,11 @@ def _pretoken_pattern(spaces: bool) -> re.Pattern:
 
 
 @cache
-def _byte_signs() -> dict[int, int]:
-    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+def _byte_signs() -> str:
+    """The characters that stand for the bytes in a byte-level vocabulary, in order: itself if it prints, else one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
-    return {b: 256 + i for i, b in enumerate(hidden)}
+    return "".join(chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256))
 
 
 class _Cache(dict):
@@ -105,6 +105,8 @@ class Encoder:
         core = text[1:] if self.spaces and text[:1] == " " else text
         if core.isascii() and core.isalpha():
             return self._pretoken(text if self.spaces else text.lower())
+        if self.spaces and len(text) <= _LONGEST and core.isalpha() and max(core) < chr(_LATIN):
+            return self._pretoken(text)
         if not text or (not self.spaces and text.isspace() and not _SEPARATOR.search(text)):
             return b""
         if len(text) > _LONGEST or not (text.isascii() or (max(text) < chr(_LATIN) and unicodedata.is_normalized("NFC", text))):
@@ -147,6 +149,10 @@ class Encoder:
             out[i] = self._text(texts[i]) if not own[i] else self.direct(texts[i])
         return out
 
+    def forget(self) -> None:
+        """Frees the known words: a worker that waits for other work holds none."""
+        self.pieces.clear()
+
 
 @cache
 def encoder(path: str, spaces: bool) -> Encoder:
