@@ -20,9 +20,9 @@ GRAMS = (4, 3, 2, 1)
 @cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: whether it is a letter, and its lower case where that is one code point."""
-    chars = [chr(i) for i in range(0x110000)]
-    lower = [c.lower() for c in chars]
-    return np.array([c.isalpha() for c in chars]), np.array([ord(x) if len(x) == 1 else i for i, x in enumerate(lower)], dtype=np.uint32)
+    size = 0x110000
+    letters = np.fromiter((chr(i).isalpha() for i in range(size)), dtype=bool, count=size)
+    return letters, np.fromiter((ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(size)), dtype=np.uint32, count=size)
 
 
 @dataclass

@@ -104,13 +104,14 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         from pyspark import TaskContext
 
         own = TaskContext.get().partitionId()
-        encode, end = encoder(tokenizer, spaces).encode, np.array([end_id], dtype="<u4").tobytes()
+        coder, end = encoder(tokenizer, spaces), np.array([end_id], dtype="<u4").tobytes()
         packer = Packer(size, windows, max_pad, own << 28)
         for batch in slices(batches, "text", 6_000_000):
             rows = []
-            for key, ids in zip(batch.column("id").to_pylist(), encode(batch.column("text").fill_null("").to_pylist())):
+            for key, ids in zip(batch.column("id").to_pylist(), coder.encode(batch.column("text").fill_null("").to_pylist())):
                 rows += packer.add(key, 0, ids + end, len(ids) // 4 + 1)
             yield _batch(rows, own)
+        coder.forget()
         yield _batch(list(packer.leftovers()), own)
 
     done, left = [], materialize(read.mapInArrow(first, f"{_SCHEMA}, part long, row long"), "packed")
