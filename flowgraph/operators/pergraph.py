@@ -3,44 +3,70 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgraph.model import Graph
 
 
-def per_graph(g: Graph, run: Callable[..., Iterable[tuple]], schema: str, edge_columns: tuple[str, ...] = (), node_columns: DataFrame | None = None) -> DataFrame:
-    """graph_id and what run(nodes, edges, start) yields for each graph.
+ROWS = 20_000  # of a batch on its way back
+
+TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "map<string,array<long>>": pa.map_(pa.string(), pa.list_(pa.int64()))}
+
+
+def _lists(column: pa.Array) -> list[list]:
+    """A column of lists as Python lists, of tuples where structs are listed; none for null."""
+    flat = column.flatten()
+    values = list(zip(*(f.to_pylist() for f in flat.flatten()))) if pa.types.is_struct(flat.type) else flat.to_pylist()
+    ends = [0, *accumulate(n or 0 for n in pc.list_value_length(column).to_pylist())]
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def per_graph(g: Graph, run: Callable[..., Iterable[tuple]], schema: str, edge_columns: tuple[str, ...] = (), node_columns: DataFrame | None = None, more: dict[str, DataFrame] | None = None) -> DataFrame:
+    """graph_id and what run(nodes, edges, start, **more) yields for each graph.
 
     nodes: sorted ids, or (id, further columns) of node_columns (graph_id, node_id, ...). edges: (edge_id, src, dst,
-    *edge_columns), the greatest edge_id first. start: an id or None. A graph is one row on its way to Python, so
+    *edge_columns), the greatest edge_id first. start: an id or None. more: further tables (graph_id, ...), whose rows
+    come as sorted tuples under their names. A graph is one row on its way to Python, so
     millions of small graphs travel in batches; it must fit a task's memory.
     """
-    if node_columns is None:
-        nodes = g.nodes.groupBy("graph_id").agg(F.sort_array(F.collect_list("node_id")).alias("nodes"))
-    else:
-        names = [c for c in node_columns.columns if c != "graph_id"]
-        nodes = node_columns.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("nodes"))
+
+    def listed(table: DataFrame, name: str) -> DataFrame:
+        rows = F.struct(*[c for c in table.columns if c != "graph_id"])
+        return table.groupBy("graph_id").agg(F.sort_array(F.collect_list(rows)).alias(name))
+
+    more = more or {}
+    nodes = g.nodes.groupBy("graph_id").agg(F.sort_array(F.collect_list("node_id")).alias("nodes")) if node_columns is None else listed(node_columns, "nodes")
     edges = g.edges.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("edge_id", "src", "dst", *edge_columns)), asc=False).alias("edges"))
     packed = nodes.join(edges, "graph_id", "left").join(g.starts.groupBy("graph_id").agg(F.min("start").alias("start")), "graph_id", "left")
+    for name, table in more.items():
+        packed = packed.join(listed(table, name), "graph_id", "left")
     names = ["graph_id", *[c.split()[0] for c in schema.split(", ")]]
+    own = tuple(more)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[] for _ in names]
+        done = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                columns: list[list] = [[] for _ in names]
-                for row in batch.slice(at, 500).to_pylist():
-                    own = [tuple(e.values()) for e in row["edges"] or []]
-                    members = [tuple(n.values()) if isinstance(n, dict) else n for n in row["nodes"]]
-                    for out in run(members, own, row["start"]):
-                        columns[0].append(row["graph_id"])
+                part = batch.slice(at, 500)
+                ids, starts = part.column("graph_id").to_pylist(), part.column("start").to_pylist()
+                tables = [_lists(part.column(name)) for name in ("nodes", "edges", *own)]
+                for graph, start, members, out_edges, *rest in zip(ids, starts, *tables):
+                    for out in run(members, out_edges, start, **dict(zip(own, rest))):
+                        columns[0].append(graph)
                         for c, v in zip(columns[1:], out):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                        if len(columns[0]) >= ROWS:
+                            yield done()
+                            columns = [[] for _ in names]
+        yield done()
 
-    types = [pa.int64(), *[{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in schema.split(", ")]]
+    types = [pa.int64(), *[TYPES[c.split()[1]] for c in schema.split(", ")]]
     return packed.mapInArrow(tasks, f"graph_id long, {schema}")
 
 

@@ -459,47 +459,47 @@ pto AS (SELECT graph_id, -10 - start AS point, 'v' || v AS slot, CAST(-1 AS BIGI
     WHERE CASE WHEN c THEN m.source = p.slot ELSE m.target IS NULL OR m.target <> p.slot END)"""
 
 
-def _direct(spark, sf_dir):
+def _direct(spark, sf_dir, blocks=None):
     """Slots v0 to v5 of the users' days: purchases and signups put a customer's block there, clicks and views copy the next slot."""
-    g = derive.day_graph(spark, sf_dir)
-    rows = derive.numbered(derive._events(spark, sf_dir).withColumn("graph_id", F.col("user_id") * 100 + F.dayofmonth("ts")))
+    rows = pointsto.cut(derive.numbered(derive._events(spark, sf_dir).withColumn("graph_id", F.col("user_id") * 100 + F.dayofmonth("ts"))))
+    g = derive.walk(rows, ["ts", "event_id"], "event_id")
     x = F.floor("value").cast("int") % 6
     slot = lambda n: F.concat(F.lit("v"), n.cast("string"))
     stmts = rows.select("graph_id", "node_id", F.col("event_id").alias("stmt_id"), F.col("event_id").alias("pos"), F.when(F.col("event_type") != "error", slot(x)).alias("target"), F.when(F.col("event_type").isin("purchase", "signup"), (F.col("k") + 1).cast("long")).alias("block_id"), F.when(F.col("event_type").isin("click", "view"), slot((x + 1) % 6)).alias("source"))
     slots = g.starts.select("graph_id", F.explode(F.array(*[F.lit(f"v{i}") for i in range(6)])).alias("slot"))
-    return pointsto.points_to_direct(g, stmts, slots)
+    return pointsto.points_to_states(g, stmts, slots, blocks)
 
 
 @query("x7_points_to", sql.query(sql.DAY, _DIRECT, select="SELECT graph_id, point, slot, value FROM pto"))
 def x7_points_to(spark, sf_dir):
     """What each slot may hold behind each statement."""
-    return _direct(spark, sf_dir)
+    return pointsto.held_slots(_direct(spark, sf_dir)).select("graph_id", "point", "slot", F.explode("values").alias("value"))
 
 
 @query("x8_may_alias", sql.query(sql.DAY, _DIRECT, select="SELECT DISTINCT a.graph_id, a.point, a.slot AS slot_1, b.slot AS slot_2 FROM pto a JOIN pto b ON b.graph_id = a.graph_id AND b.point = a.point AND b.value = a.value AND a.slot < b.slot WHERE a.value >= 0"))
 def x8_may_alias(spark, sf_dir):
     """Pairs of slots that may hold the same block."""
-    held = pointsto.cut(_direct(spark, sf_dir))
-    left, right = held.withColumnRenamed("slot", "slot_1"), held.withColumnRenamed("slot", "slot_2")
-    slots = held.select("graph_id", "point", "slot").distinct()
-    pairs = slots.withColumnRenamed("slot", "slot_1").join(slots.withColumnRenamed("slot", "slot_2"), ["graph_id", "point"]).where("slot_1 < slot_2")
-    return pointsto.may_alias(pairs, left, right)
+    some = lambda values: F.exists(values, lambda v: v >= 0)
+    blocks = lambda values: F.filter(values, lambda v: v >= 0)
+    return pointsto.slot_pairs(_direct(spark, sf_dir), some, lambda a, b: F.arrays_overlap(blocks(a), blocks(b))).drop("values")
 
 
 @query("x9_must_alias", sql.query(sql.DAY, _DIRECT, "one AS (SELECT graph_id, point, slot, min(value) AS v FROM pto GROUP BY ALL HAVING count(*) = 1 AND min(value) >= 0)", select="SELECT a.graph_id, a.point, a.slot AS slot_1, b.slot AS slot_2 FROM one a JOIN one b ON b.graph_id = a.graph_id AND b.point = a.point AND b.v = a.v AND a.slot < b.slot JOIN customer ON c_custkey = a.v"))
 def x9_must_alias(spark, sf_dir):
     """Pairs of slots that hold the same block for sure."""
-    one = pointsto.cut(pointsto.must_alias(_direct(spark, sf_dir), ["graph_id", "point", "slot"], _customers(spark, sf_dir)))
-    return one.withColumnRenamed("slot", "slot_1").join(one.withColumnRenamed("slot", "slot_2"), ["graph_id", "point", "block_id"]).where("slot_1 < slot_2").drop("block_id")
+    states = _direct(spark, sf_dir, _customers(spark, sf_dir))
+    sure = states.withColumn("held", F.map_filter("held", lambda _, v: pointsto.one_static(v, F.col("static"))))
+    return pointsto.slot_pairs(sure, lambda v: F.size(v) == 1, lambda a, b: a == b).drop("values")
 
 
 @query("x10_undefined", sql.query(sql.DAY, _DIRECT, select="SELECT graph_id, point, slot, CASE WHEN min(value) < 0 AND max(value) >= 0 THEN 'may' WHEN min(value) < 0 THEN 'must' END AS state FROM pto GROUP BY graph_id, point, slot"))
 def x10_undefined(spark, sf_dir):
-    return pointsto.undefinedness(_direct(spark, sf_dir), ["graph_id", "point", "slot"])
+    return pointsto.held_slots(_direct(spark, sf_dir)).select("graph_id", "point", "slot", pointsto.undefined_state(F.col("values")).alias("state"))
 
 
 @query("x11_asserts", sql.query(sql.DAY, _DIRECT, "c AS (SELECT count(*) AS n FROM customer)", select="""SELECT graph_id, point, slot, CASE WHEN min(value) >= 0 AND count(c_custkey) = count(*) THEN string_agg(value, ',' ORDER BY value) END AS one_of,
   (SELECT n FROM c) - count(c_custkey) AS n_not FROM pto LEFT JOIN customer ON c_custkey = value GROUP BY graph_id, point, slot"""))
 def x11_asserts(spark, sf_dir):
-    rows = pointsto.points_to_asserts(_direct(spark, sf_dir), ["graph_id", "point", "slot"], _customers(spark, sf_dir))
-    return rows.withColumn("one_of", F.array_join("one_of", ","))
+    blocks = _customers(spark, sf_dir)
+    rows = pointsto.set_asserts(pointsto.held_slots(_direct(spark, sf_dir, blocks)), blocks)
+    return rows.select("graph_id", "point", "slot", F.array_join("one_of", ",").alias("one_of"), "n_not")
