@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgraph.model import Graph
+from flowgraph.operators.fixpoint import merged
 
 
 ROWS = 20_000  # of a batch on its way back
 
-TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "map<string,array<long>>": pa.map_(pa.string(), pa.list_(pa.int64()))}
+TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "map<string,array<long>>": pa.map_(pa.string(), pa.list_(pa.int64())), "map<long,array<long>>": pa.map_(pa.int64(), pa.list_(pa.int64()))}
 
 
 def _lists(column: pa.Array) -> list[list]:
@@ -42,9 +43,9 @@ def per_graph(g: Graph, run: Callable[..., Iterable[tuple]], schema: str, edge_c
     more = more or {}
     nodes = g.nodes.groupBy("graph_id").agg(F.sort_array(F.collect_list("node_id")).alias("nodes")) if node_columns is None else listed(node_columns, "nodes")
     edges = g.edges.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("edge_id", "src", "dst", *edge_columns)), asc=False).alias("edges"))
-    packed = nodes.join(edges, "graph_id", "left").join(g.starts.groupBy("graph_id").agg(F.min("start").alias("start")), "graph_id", "left")
+    packed = nodes.join(merged(edges), "graph_id", "left").join(merged(g.starts.groupBy("graph_id").agg(F.min("start").alias("start"))), "graph_id", "left")
     for name, table in more.items():
-        packed = packed.join(listed(table, name), "graph_id", "left")
+        packed = packed.join(merged(listed(table, name)), "graph_id", "left")
     names = ["graph_id", *[c.split()[0] for c in schema.split(", ")]]
     own = tuple(more)
 

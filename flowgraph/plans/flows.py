@@ -429,7 +429,7 @@ def _each(graphs, rows, schema):
 def x7_points_to_any(spark, sf_dir):
     """Hours of users with all kinds of statements: blocks, parts, copies, targets that another slot gives, unknown calls. Too entangled for SQL; tested against a plain interpreter."""
     hour = F.col("user_id") * 10_000 + F.dayofmonth("ts") * 100 + F.hour("ts")
-    rows = derive.numbered(derive._events(spark, sf_dir).withColumn("graph_id", hour))
+    rows = pointsto.cut(derive.numbered(derive._events(spark, sf_dir).withColumn("graph_id", hour)))
     g = derive.walk(rows, ["ts", "event_id"], "event_id")
     base, x, k = F.col("graph_id") * 100, F.floor("value").cast("int") % 6, F.col("k") % 4
     kinds = [(i, 1, "simple", None, None) for i in range(6)] + [(10 + i, 2, "simple", None, None) for i in range(4)] + [(20, 3, "compound", None, None), (21, 3, "simple", 20, 0), (22, 3, "simple", 20, 1)]

@@ -20,9 +20,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numbered(rows: DataFrame) -> DataFrame:
     """rows (graph_id, node, ...) with node_id: the nodes of a graph in the order of their names, from 0."""
-    names = rows.select("graph_id", "node").distinct()
-    ids = names.withColumn("node_id", F.row_number().over(Window.partitionBy("graph_id").orderBy("node")).cast("long") - 1)
-    return rows.join(ids, ["graph_id", "node"])
+    place = F.dense_rank().over(Window.partitionBy("graph_id").orderBy("node")).cast("long") - 1
+    return rows.where("graph_id is not null and node is not null").withColumn("node_id", place)
 
 
 def walk(rows: DataFrame, order: list[str], edge_id: str) -> Graph:
