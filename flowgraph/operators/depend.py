@@ -204,20 +204,52 @@ def next_point(points: DataFrame, loops: DataFrame) -> DataFrame:
     return points.join(loops.select("loop_id", "upper", "step"), "loop_id").select("loop_id", "point", F.when(inside, ahead).alias("next"))
 
 
-def nest_points(loops: DataFrame) -> DataFrame:
-    """(loop_id, point): for each loop of a nest the values of all variables around it and its own, the outermost first.
+def nest_ranges(loops: DataFrame) -> DataFrame:
+    """(loop_id, depth, ranges): lower, upper and step of all loops around each loop and its own, the outermost first.
 
-    loops: loop_id, parent_loop (null for the outermost), lower, upper, step. A round for each level of the deepest nest.
+    loops: loop_id, parent_loop (null for the outermost), lower, upper, step. A round for each level of the deepest nest,
+    over loops and not over points.
     """
-    own = iteration_points(loops).join(loops.select("loop_id", "parent_loop"), "loop_id")
-    now = cut(own.where("parent_loop is null").select("loop_id", F.array("point").alias("point")))
-    inner = cut(own.where("parent_loop is not null").select("loop_id", F.col("parent_loop").alias("__outer"), F.col("point").alias("__value")))
-    found = now
+    loops = cut(loops.select("loop_id", "parent_loop", F.struct("lower", "upper", "step").alias("__own")))
+    inner = loops.where("parent_loop is not null").select("loop_id", F.col("parent_loop").alias("__outer"), "__own")
+    now, depth = cut(loops.where("parent_loop is null").select("loop_id", F.array("__own").alias("ranges"))), 1
+    found = now.withColumn("depth", F.lit(depth))
     while True:
-        now = cut(now.withColumnRenamed("loop_id", "__outer").join(inner, "__outer").select("loop_id", F.concat("point", F.array("__value")).alias("point")))
+        now, depth = cut(now.withColumnRenamed("loop_id", "__outer").join(inner, "__outer").select("loop_id", F.concat("ranges", F.array("__own")).alias("ranges"))), depth + 1
         if now.isEmpty():
-            return found
-        found = found.union(now)
+            return found.select("loop_id", "depth", "ranges")
+        found = found.union(now.withColumn("depth", F.lit(depth)))
+
+
+def range_points(ranges: DataFrame) -> DataFrame:
+    """The rows of nest_ranges with point, once for each point of the loop: made in place, without a join of points."""
+    found = None
+    for depth in [r[0] for r in ranges.select("depth").distinct().orderBy("depth").collect()]:  # the levels of the deepest nest
+        rows = ranges.where(F.col("depth") == depth).withColumn("point", F.array().cast("array<bigint>"))
+        for level in range(depth):
+            at = F.get("ranges", F.lit(level))
+            lower, upper, step = (at[c].cast("long") for c in ("lower", "upper", "step"))
+            some = F.when(step > 0, lower <= upper).when(step < 0, lower >= upper).otherwise(False)
+            values = F.sequence(lower, F.when(some, upper).otherwise(lower), F.when(some, step).otherwise(F.lit(1).cast("long")))
+            rows = rows.where(some).withColumn("__value", F.explode(values)).withColumn("point", F.concat("point", F.array("__value"))).drop("__value")
+        found = rows if found is None else found.union(rows)
+    return ranges.withColumn("point", F.array().cast("array<bigint>")).where("false") if found is None else found
+
+
+def range_next(level: int) -> Column:
+    """Of the rows of range_points: the point one step on along the variable at `level`, as nest_next_point has it."""
+    at = F.get("ranges", F.lit(level))
+    ahead = F.get("point", F.lit(level)) + at["step"]
+    inside = F.when(at["step"] > 0, ahead <= at["upper"]).otherwise(ahead >= at["upper"])
+    return F.when(inside, F.transform("point", lambda x, i: F.when(i == level, ahead).otherwise(x)))
+
+
+def nest_points(loops: DataFrame) -> DataFrame:
+    """(loop_id, point): for each loop of a nest the values of all variables around it and its own, the outermost first.
+
+    loops: as in nest_ranges.
+    """
+    return range_points(nest_ranges(loops)).select("loop_id", "point")
 
 
 def nest_next_point(points: DataFrame, loops: DataFrame, level: int) -> DataFrame:
