@@ -227,10 +227,9 @@ def _nest(spark, sf_dir):
 UNION ALL SELECT o * 2 + 1, x || ',' || y, CASE WHEN x + 1 <= b THEN (x + 1) || ',' || y END, CASE WHEN y - 2 >= 0 THEN x || ',' || (y - 2) END FROM inner_"""))
 def e5_nest_points(spark, sf_dir):
     """Points of all loops of the nests, and the next ones along either variable."""
-    loops = _nest(spark, sf_dir)
-    points = depend.nest_points(loops)
-    rows = depend.nest_next_point(points, loops, 0).withColumnRenamed("next", "outer_next").join(depend.nest_next_point(points, loops, 1).withColumnRenamed("next", "inner_next"), ["loop_id", "point"])
-    return rows.select("loop_id", *(F.array_join(c, ",").alias(c) for c in ("point", "outer_next", "inner_next")))
+    points = depend.range_points(depend.nest_ranges(_nest(spark, sf_dir)))
+    points = points.withColumns({"outer_next": depend.range_next(0), "inner_next": depend.range_next(1)})
+    return points.select("loop_id", *(F.array_join(c, ",").alias(c) for c in ("point", "outer_next", "inner_next")))
 
 
 def _regions(spark, sf_dir):
@@ -253,13 +252,11 @@ def x1_subregions(spark, sf_dir):
 
 
 def _order_types(spark, sf_dir):
-    from pyspark.sql import Window
-
-    lines = derive.read(spark, sf_dir, "lineitem")
-    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")) - 1
-    part = lines.select(F.col("l_orderkey").cast("long").alias("owner"), F.array(nth.cast("int")).alias("path"), F.lit("simple").alias("kind"))
-    whole = part.select("owner", F.array().cast("array<int>").alias("path"), F.lit("compound").alias("kind")).distinct()
-    return part.union(whole).select("owner", F.lit(0).cast("long").alias("region_id"), F.lit("static").alias("alloc"), "path", "kind")
+    """The order's root and a part for each of its lines; lines are alike, so their number makes the tree."""
+    lines = derive.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("owner")).agg(F.count("*").cast("int").alias("n"))
+    rows = lines.select("owner", F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("nth"))
+    path, kind = F.when(F.col("nth") < 0, F.array().cast("array<int>")).otherwise(F.array("nth")), F.when(F.col("nth") < 0, "compound").otherwise("simple")
+    return rows.select("owner", F.lit(0).cast("long").alias("region_id"), F.lit("static").alias("alloc"), path.alias("path"), kind.alias("kind"))
 
 
 _BLOCKS = """n AS (SELECT l_orderkey AS o, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT o * 1000000 AS block_id, 'compound' AS kind, CAST(NULL AS BIGINT) AS parent_block, CAST(NULL AS INT) AS pos FROM n
